@@ -8,8 +8,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces, rules, urls
-from .common import table
+from . import langid, mixing, pieces, rules, simhash, urls
+from .common import held_out, table
 
 #: The folder of public tokenizer files on every machine.
 TOKENIZERS = "/opt/tokenizers"
@@ -42,6 +42,16 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs, ~held_out("doc_id", 3)))
+    return found.select("doc_id", held_out("doc_id", 3).alias("held_out"), "lang_pred", "score", "n_spans")
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and name[2].isdigit()}
 
