@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, pieces, rules, simhash, urls
+from . import langid, lm, mixing, pieces, quality, rules, simhash, urls
 from .common import held_out, table
 
 #: The folder of public tokenizer files on every machine.
@@ -22,6 +22,13 @@ def tokenizer_path(name: str) -> str:
     return os.path.join(TOKENIZERS, name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = quality.fit(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 3))
+    found = quality.score_documents(docs, net)
+    return found.select("doc_id", held_out("doc_id", 3).alias("held_out"), "score", "predicted")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).drop("source")
 
@@ -30,6 +37,11 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(MODEL))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.score_documents(table(spark, sf_dir, "documents"), ~held_out("doc_id", 5))
+    return found.withColumn("held_out", held_out("doc_id", 5))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge_documents(table(spark, sf_dir, "documents"))
 
