@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-_MODULES: tuple = ()
+from . import retrieval, structured  # noqa: E402
+
+_MODULES = (structured, retrieval)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
