@@ -123,7 +123,7 @@ def atomic_claims(answer: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Split after . or ; before blanks and an ASCII capital."""
-    parts = F.transform(F.split(text, r"(?<=[.;])[\x20\x09-\x0D]+(?=[A-Z])"), F.trim)
+    parts = F.transform(F.split(text, r"(?<=[.;])[\x20\x09-\x0D]+(?=[A-Z])"), lambda p: F.trim(p))
     return F.filter(parts, lambda p: p != "")
 
 

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-from . import retrieval, structured  # noqa: E402
+from . import corpus, evaluation, retrieval, structured  # noqa: E402
 
-_MODULES = (structured, retrieval)
+_MODULES = (structured, retrieval, evaluation, corpus)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
