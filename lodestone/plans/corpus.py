@@ -102,8 +102,8 @@ def jaccard_members(spark, sf):
 
 
 REPS = f"{SHINGLES}, k AS (SELECT doc_id, md5(array_to_string(list_sort(s), '|')) AS k, s FROM s), g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS rep, s FROM k)"
-PAIRS = f"""{REPS}, u AS (SELECT rep, len(s) AS n, unnest(s) AS x FROM g WHERE doc_id = rep), both AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb
-FROM u a JOIN u b ON a.x = b.x AND a.rep < b.rep GROUP BY ALL), pairs AS (SELECT a, b, c::DOUBLE / (na + nb - c) AS j FROM both WHERE c::DOUBLE / (na + nb - c) >= 0.8)"""
+PAIRS = f"""{REPS}, u AS (SELECT rep, len(s) AS n, unnest(s) AS x FROM g WHERE doc_id = rep), shared AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb
+FROM u a JOIN u b ON a.x = b.x AND a.rep < b.rep GROUP BY ALL), pairs AS (SELECT a, b, c::DOUBLE / (na + nb - c) AS j FROM shared WHERE c::DOUBLE / (na + nb - c) >= 0.8)"""
 
 
 def near_dup_clusters(spark, sf):

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import corpus, evaluation, retrieval, structured, tables
+
 Query = Callable[[SparkSession, str], DataFrame]
-from . import corpus, evaluation, retrieval, structured  # noqa: E402
 
-_MODULES = (structured, retrieval, evaluation, corpus)
+_MODULES = (structured, retrieval, evaluation, corpus, tables)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
