@@ -77,7 +77,7 @@ def shingles(spark, sf):
     return _docs(spark, sf).select("doc_id", s.alias("s")).select("doc_id", F.size("s").cast("bigint").alias("n"), F.md5(F.array_join(F.array_sort("s"), "|")).alias("digest"))
 
 
-SHINGLES = f"""s AS (SELECT doc_id, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) END AS s
+SHINGLES = f"""s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(len(w) - 4), lambda i: array_to_string(w[i + 1 : i + 5], ' '))) END AS s
 FROM (SELECT doc_id, regexp_extract_all(lower(text), '{W_}') AS w FROM documents))"""
 
 
@@ -101,16 +101,16 @@ def jaccard_members(spark, sf):
     return C.similar_pairs(_docs(spark, sf))[0]
 
 
-REPS = f"{SHINGLES}, k AS (SELECT doc_id, md5(array_to_string(list_sort(s), '|')) AS k, s FROM s), g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS rep, s FROM k)"
+REPS = f"{SHINGLES}, k AS (SELECT doc_id, md5(array_to_string(list_sort(s), '|')) AS k, s FROM s), g AS MATERIALIZED (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS rep, s FROM k)"
 PAIRS = f"""{REPS}, u AS (SELECT rep, len(s) AS n, unnest(s) AS x FROM g WHERE doc_id = rep), shared AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb
-FROM u a JOIN u b ON a.x = b.x AND a.rep < b.rep GROUP BY ALL), pairs AS (SELECT a, b, c::DOUBLE / (na + nb - c) AS j FROM shared WHERE c::DOUBLE / (na + nb - c) >= 0.8)"""
+FROM u a JOIN u b ON a.x = b.x AND a.rep < b.rep GROUP BY ALL), pairs AS MATERIALIZED (SELECT a, b, c::DOUBLE / (na + nb - c) AS j FROM shared WHERE c::DOUBLE / (na + nb - c) >= 0.8)"""
 
 
 def near_dup_clusters(spark, sf):
     return C.near_duplicate_clusters(_docs(spark, sf))
 
 
-CLUSTERS = f"""WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach(rep, r) AS (SELECT DISTINCT rep, rep FROM g UNION SELECT reach.rep, e.b FROM reach JOIN e ON e.a = reach.r),
+CLUSTERS = f"""WITH RECURSIVE {PAIRS}, e AS MATERIALIZED (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach(rep, r) AS (SELECT DISTINCT rep, rep FROM g UNION SELECT reach.rep, e.b FROM reach JOIN e ON e.a = reach.r),
 c AS (SELECT rep, min(r) AS cluster_id FROM reach GROUP BY rep), l AS (SELECT a AS rep, count(*) AS links FROM e GROUP BY a)
 SELECT g.doc_id, cluster_id, coalesce(links, 0) AS links FROM g JOIN c USING (rep) LEFT JOIN l USING (rep)"""
 

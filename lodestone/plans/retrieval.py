@@ -110,8 +110,8 @@ def union_dedupe(spark, sf):
 
 
 UNION = f"""WITH {bm25_sql(WORDS)}, {DENSE}, l AS (SELECT *, 0 AS list FROM ({ranked_sql("dense")}) UNION ALL SELECT *, 1 FROM ({ranked_sql("scores")})),
-m AS (SELECT qid, doc_id, min(list * 1000 + rank) AS at FROM l GROUP BY ALL)
-SELECT qid, doc_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY at) AS INTEGER) AS pos FROM m"""
+m AS (SELECT qid, doc_id, min(list * 1000 + rank) AS place FROM l GROUP BY ALL)
+SELECT qid, doc_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY place) AS INTEGER) AS pos FROM m"""
 
 
 def multi_query(spark, sf):
