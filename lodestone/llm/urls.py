@@ -30,9 +30,11 @@ ALLOWED = (
     "mountain forest kitchen bakery letters theatre painting chess football running cycling sailing health doctor teacher "
     "law council city village market harbour railway engine compiler notes essays journal archive lecture brother weather "
     "leather gather rather southern northern nation station fiction motion education the-herald that-there other-things "
-    "thinking within breath earth thorough thirteen question tradition attention relation interest entrance handbook"
+    "thinking within breath earth thorough thirteen question tradition attention relation interest entrance handbook "
+    "city-library art-museum garden-notes old-railways book-of-rivers school-of-music open-lectures world-history house-plants "
+    "bird-watching public-health town-council rain-and-wind sea-travel little-theatre home-cooking science-letters y x-ray abc my-site"
 ).split()
-ENDINGS = ("example.com", "example.org", "example.net")
+ENDINGS = ("com", "example.com", "org", "example.org", "net", "example.net", "info", "co.uk", "de")
 FRONTS = ("", "www.", "blog.", "m.", "news.")
 PATHS = ("", "/", "/en/12", "/de/345/", "/fr/67.html", "/es/890", "/about", "/2021/05/notes")
 

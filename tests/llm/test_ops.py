@@ -364,7 +364,7 @@ def test_links_lose_no_pair(spark, limit, monkeypatch):
 
         edges = []
         while len(rows):
-            dealt = sorted({(32 * p + v, int(np.uint64(f).astype(np.int64) & np.uint64(simhash.mask(32 * p + v)).astype(np.int64)), f) for p, f in rows for v in range(1, 32)})
+            dealt = sorted({(32 * p + v, int(np.int64(f) & np.uint64(simhash.mask(32 * p + v)).astype(np.int64)), f) for p, f in rows for v in range(1, 32)})
             table = pa.table([pa.array(c, pa.int64()) for c in zip(*dealt, strict=True)], ["path", "key", "fp"])
             out = [r for b in simhash._link(iter(table.to_batches(max_chunksize=97))) for r in b.to_pylist()]
             edges += [(r["a"], r["b"]) for r in out if r["path"] == -1]
