@@ -29,6 +29,7 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 #: Sources and shards whose tables the driver holds.
 MOST_SOURCES, MOST_SHARDS = 100_000, 4_096
+SHARD_WORDS = 1_000_000
 #: Blocks grow beyond this number, which the hypergeometric draw can still take.
 MOST_BLOCKS = 1 << 28
 
@@ -86,14 +87,15 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def plan(docs: DataFrame, shards: int = 64, block_words: int = 4_096, weights: tuple = WEIGHTS, cap: int = CAP, seed: int = 11) -> DataFrame:
+def plan(docs: DataFrame, shards: int | None = None, block_words: int = 4_096, weights: tuple = WEIGHTS, cap: int = CAP, seed: int = 11) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, shards) of every row of docs.
 
     taken is size times the number of shards listed; a document's copies go to the shards of their blocks. A document
     belongs to the pass and block in which its first word stands, and is taken if its middle lies before the target,
-    so a source's taken words miss its target by half a document at most.
+    so a source's taken words miss its target by half a document at most. Without a number there is a shard for every
+    SHARD_WORDS words of the mix.
     """
-    if not 0 < shards <= MOST_SHARDS:
+    if shards is not None and not 0 < shards <= MOST_SHARDS:
         raise ValueError(f"shards must be between 1 and {MOST_SHARDS}")
     spark = docs.sparkSession
     source = docs["source"].cast("string")
@@ -114,6 +116,7 @@ def plan(docs: DataFrame, shards: int = 64, block_words: int = 4_096, weights: t
     found = sorted(((r["s"], r["words"]) for r in found), key=lambda r: (r[0] == "", r[0]))  # code points, null last
     sizes = [n for _, n in found]
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], cap)
+    shards = shards or min(MOST_SHARDS, max(1, ceil(sum(sizes) / SHARD_WORDS)))
     block_words = max(block_words, ceil(sum(sizes) / MOST_BLOCKS))
     quotas = [ceil(t / block_words) for t in wanted]
     bounds = np.vstack([np.zeros(len(found), np.int64), np.cumsum(split_quotas(quotas, shards, seed), axis=0)])
@@ -142,8 +145,8 @@ def plan(docs: DataFrame, shards: int = 64, block_words: int = 4_096, weights: t
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "shards")
 
 
-def mix_documents(docs: DataFrame, shards: int = 64, seed: int = 11, **options) -> DataFrame:
-    """The mixed rows of docs, repeats included, with docs' columns: one partition for each shard, shuffled inside.
+def mix_documents(docs: DataFrame, shards: int | None = None, seed: int = 11, **options) -> DataFrame:
+    """The mixed rows of docs, repeats included, with docs' columns: each shard whole in one partition, shuffled inside.
 
     Rows are matched to the plan by doc_id; rows that share a doc_id, which then have the same random key, are matched
     by number within the id.
@@ -157,4 +160,4 @@ def mix_documents(docs: DataFrame, shards: int = 64, seed: int = 11, **options)
     rows = full.join(planned.filter(F.size("shards") > 0).alias("p"), same)
     rows = rows.select(*(F.col(f"d.`{n}`") for n in names), F.posexplode("p.shards").alias("_pass", "_shard"))
     order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("_pass"))
-    return rows.repartition(shards, "_shard").sortWithinPartitions("_shard", order).select(*names)
+    return rows.repartition("_shard").sortWithinPartitions("_shard", order).select(*names)
