@@ -14,7 +14,7 @@ from .durable import written
 
 
 def windows(words: Column, size: int, overlap: int) -> Column:
-    """Stretches of size words that overlap; the last is the first that reaches the end. None of an empty array."""
+    """Stretches of size words that overlap; the last is the first that reaches the end. None of an empty or null array."""
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
     step = size - overlap
@@ -24,7 +24,7 @@ def windows(words: Column, size: int, overlap: int) -> Column:
         parts = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
         return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(parts)
 
-    return let(words, cut)
+    return let(F.coalesce(words, F.array().cast("array<string>")), cut)
 
 
 def chunk_fixed(docs: DataFrame, size: int = 200, overlap: int = 40) -> DataFrame:

@@ -126,13 +126,13 @@ def self_consistency(samples: DataFrame, key: str, threshold: float = 0.5, neede
 
     Equal signatures meet once, weighted by their number, so a group's pairs are pairs of distinct signatures.
     """
-    signed = samples.select(key, F.array_sort(signature(F.col("answer"))).alias("s")).groupBy(key, "s").agg(F.count("*").alias("c"))
-    a, b = signed.select(key, F.col("s").alias("sa")), signed.select(key, F.col("s").alias("sb"), "c")
-    union = F.size(F.array_union("sa", "sb"))
-    near = F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect("sa", "sb")) / union) >= threshold
-    total = signed.groupBy(key).agg(F.sum("c").alias("n"))
-    best = a.join(b, key).filter(near).groupBy(key, "sa").agg(F.sum("c").alias("k")).groupBy(key).agg(F.max("k").alias("k"))
-    value = F.col("k") / F.col("n")
+    signed = samples.select(key, F.array_sort(signature(F.col("answer"))).alias("_s")).groupBy(key, "_s").agg(F.count("*").alias("_c"))
+    a, b = signed.select(key, F.col("_s").alias("_sa")), signed.select(key, F.col("_s").alias("_sb"), "_c")
+    union = F.size(F.array_union("_sa", "_sb"))
+    near = F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect("_sa", "_sb")) / union) >= threshold
+    total = signed.groupBy(key).agg(F.sum("_c").alias("_n"))
+    best = a.join(b, key).filter(near).groupBy(key, "_sa").agg(F.sum("_c").alias("_k")).groupBy(key).agg(F.max("_k").alias("_k"))
+    value = F.col("_k") / F.col("_n")
     return best.join(total, key).select(key, F.round(value, 3).alias("agreement"), (value >= needed).alias("consistent"))
 
 
