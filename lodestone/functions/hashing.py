@@ -28,7 +28,10 @@ def cache_key(prompt: Column) -> Column:
     return F.sha2(squeeze(F.lower(prompt)), 256)
 
 
-def pii_placeholder(kind: str, value: Column, salt: str = "rag-ingest-salt-v1") -> Column:
+SALT = "rag-ingest-salt-v1"  # fixed value
+
+
+def pii_placeholder(kind: str, value: Column, salt: str = SALT) -> Column:
     """[KIND_xxxxxx] from a salted hash of the value's digits."""
     digits = F.regexp_replace(value, "[^0-9]", "")
     return F.concat(F.lit(f"[{kind}_"), F.substring(F.sha2(F.concat(F.lit(f"{salt}:"), digits), 256), 1, 6), F.lit("]"))

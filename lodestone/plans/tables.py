@@ -160,7 +160,7 @@ def render_diagnosis(spark, sf):
 
 
 def main_content(spark, sf):
-    """The reference's heuristic for main content, by a parser in Arrow batches."""
+    """Main content by link density, by a parser in Arrow batches."""
     return P.main_content(read(spark, sf, "pages"))
 
 
