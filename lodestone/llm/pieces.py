@@ -140,7 +140,7 @@ class Encoder:
     #: len(pieces) + its code point; it never merges.
     LONG = 160
 
-    def __init__(self, raw: bytes, cache: int = 600_000) -> None:
+    def __init__(self, raw: bytes, cache: int = 200_000) -> None:
         v = self.vocabulary = Vocabulary(raw)
         self.ids = {p: i for i, p in enumerate(v.pieces) if v.types[i] == NORMAL}
         self.alone = np.array([v.types[i] == NORMAL and self._merge(p) == [p] for i, p in enumerate(v.pieces)])
@@ -313,8 +313,8 @@ class Encoder:
 
     def _learn(self, known: dict[str, bytes], keys: set[str], before: str) -> None:
         new = list(keys.difference(known))
-        for a in range(0, len(new), 50_000):
-            part = new[a : a + 50_000]
+        for a in range(0, len(new), 25_000):
+            part = new[a : a + 25_000]
             units = [before + k for k in part]
             short = [u for u in units if len(u) <= self.LONG]
             ids = iter(self._many(short) if short else ())
@@ -368,7 +368,7 @@ def encode_documents(docs: DataFrame, model: str, with_ids: bool = False) -> Dat
         tool = encoder(model if "/" in model else SparkFiles.get(model))
         texts = batch.column("text").to_pylist()
         n, ids_sha, text_sha, all_ids = [], [], [], []
-        for a, b in pieces_of(texts, 2_000_000):
+        for a, b in pieces_of(texts, 1_000_000):
             for ids in tool.encode(texts[a:b]):
                 n.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
