@@ -52,12 +52,16 @@ def byte_vectors() -> np.ndarray:
 VECTORS = byte_vectors()
 
 
+def _halves(text: bytes) -> int:
+    return (len(text) + WIDTH) // HALF + 1
+
+
 def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The texts one after the other, each with zero bytes after it up to whole half-chunks, and each one's half-chunks.
 
     Eight zero bytes at least follow each text, so a text's last window, which would reach into the next one, is blank.
     """
-    halves = np.array([(len(t) + WIDTH) // HALF + 1 for t in texts], np.int64)
+    halves = np.array([_halves(t) for t in texts], np.int64)
     return np.frombuffer(b"".join(t.ljust(int(n) * HALF, b"\0") for t, n in zip(texts, halves, strict=True)), np.uint8), halves
 
 
@@ -88,49 +92,46 @@ class Network:
     def pooled(self, texts: list[bytes]) -> np.ndarray:
         """Mean and maximum over the chunks, for each text."""
         out = np.zeros((len(texts), 2 * self.filters.shape[1]))
-        for i, first, last in _stretches(texts):
-            flat, halves = layout(texts[i] if isinstance(i, slice) else [texts[i][first:last]])
-            top = self.activations(flat, halves).max(axis=1)
-            self._pool(out, i, top, halves, first)
-        for i, t in enumerate(texts):
-            if len(t) > BUDGET:
-                out[i, : self.filters.shape[1]] /= len(_parts(t))
+        for run in _runs(texts):
+            if len(texts[run.start]) > BUDGET:
+                out[run] = self._pooled_long(texts[run.start])
+                continue
+            flat, halves = layout(texts[run])
+            out[run] = np.concatenate(chunk_means(self.activations(flat, halves).max(axis=1), halves), axis=1)
         return out
 
-    def _pool(self, out, i, top, halves, first) -> None:
-        n = top.shape[1]
-        mean, most = chunk_means(top, halves)
-        if isinstance(i, slice):
-            out[i, :n], out[i, n:] = mean, most
-        else:  # one stretch of a long text: means add up, maxima join
-            out[i, :n] += mean[0]
-            out[i, n:] = np.maximum(out[i, n:], most[0])
+    def _pooled_long(self, text: bytes) -> np.ndarray:
+        """The same of one text, by stretches of whole half-chunks: chunks add up, and one division by their number ends it."""
+        n, step = _halves(text), max(BUDGET // HALF, 1)
+        total = np.zeros(self.filters.shape[1])
+        most, before = total, None
+        for a in range(0, n, step):
+            b = min(a + step, n)
+            # with one half-chunk more, as the last window reads on into it
+            flat, halves = layout([text[a * HALF : (b + 1) * HALF]])
+            top = self.activations(flat, halves).max(axis=1)[: b - a]
+            joined = top if before is None else np.concatenate([before, top])
+            if len(joined) > 1:
+                pair = np.maximum(joined[:-1], joined[1:])
+                total = total + pair.sum(axis=0, dtype=float)
+                most = np.maximum(most, pair.max(axis=0))
+            before = top[-1:]
+        return np.concatenate([total / (n - 1), most])
 
     def probability(self, texts: list[bytes]) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.pooled(texts) @ self.weights + self.bias)))
 
 
-def _parts(text: bytes) -> range:
-    """Where the stretches of a long text begin; they overlap by half a chunk, like chunks."""
-    return range(0, len(text) - HALF, BUDGET - HALF)
-
-
-def _stretches(texts: list[bytes]):
-    """(slice of texts, 0, 0) for runs of texts within BUDGET bytes; (index, first, last) for parts of a longer text."""
+def _runs(texts: list[bytes]):
+    """Slices of consecutive texts within BUDGET bytes together; a longer text is alone in its slice."""
     start = total = 0
     for i, t in enumerate(texts):
-        if len(t) > BUDGET or total + len(t) > BUDGET:
-            if start < i:
-                yield slice(start, i), 0, 0
+        if start < i and total + len(t) > BUDGET:
+            yield slice(start, i)
             start, total = i, 0
-        if len(t) > BUDGET:
-            for a in _parts(t):
-                yield i, a, a + BUDGET
-            start = i + 1
-        else:
-            total += len(t) + HALF
+        total += len(t) + HALF
     if start < len(texts):
-        yield slice(start, len(texts)), 0, 0
+        yield slice(start, len(texts))
 
 
 def chunk_means(top: np.ndarray, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

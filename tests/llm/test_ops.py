@@ -65,6 +65,17 @@ def test_quality_learns_and_scores_odd_texts(spark, odd, empty):
     assert quality.fit(empty, labels.limit(0), ~held_out("doc_id", 3)).probability([b"", b"x"]).tolist() == [0.5, 0.5]
 
 
+def test_quality_scores_alike_in_one_stretch_or_several(monkeypatch):
+    rng = np.random.default_rng(4)
+    net = quality.Network(rng.normal(size=(96, 32)).astype(np.float32), np.full(32, 0.05, np.float32), rng.normal(size=64), 0.0)
+    texts = [bytes(rng.integers(32, 127, n, np.uint8)) for n in (0, 7, 1001, 1272, 1273, 1279, 1280, 1281, 1529, 2048, 5000, 70_003)]
+    texts[-1] = texts[-1][:-200] + b"!" * 200  # a tail unlike the rest
+    whole = net.pooled(texts)
+    for budget in (1000, 1024, 4096):
+        monkeypatch.setattr(quality, "BUDGET", budget)
+        assert np.allclose(net.pooled(texts), whole, rtol=1e-4)
+
+
 def test_quality_gradient():
     """The filters' step lowers the loss on one batch."""
     texts, y = [b"aaaa bbbb " * 90, b"!!!! #### " * 90], np.array([1.0, 0.0])
