@@ -2,7 +2,8 @@
 
 A page is read once as a stream of tags and words. Words score positive and tags negative, by weights learned from
 labelled pages: the log odds of the token inside against outside the marked content. A linear scan finds the contiguous
-stretch of tokens with the greatest sum. Within it, text outside containers that never hold an article's own text
+stretch of tokens with the greatest sum. Excluded containers count 0, tags and words, so that they neither add to a
+stretch nor break it; a link's words elsewhere count like other words. Within the stretch, text outside containers that never hold an article's own text
 (menus, forms, adverts, comments and the like, told by element name or by the words of class and id) is put together
 block by block.
 
@@ -69,7 +70,8 @@ class Page:
             name = m["name"].lower()
             if name not in INLINE:
                 self.block += 1
-            self.tokens.append((("/" if m["end"] else "") + name, self.block, "", bool(stack)))
+            opens = not m["end"] and name not in VOID and name not in EDGES and (name in OUTSIDE or self._hinted(m["rest"]))
+            self.tokens.append((("/" if m["end"] else "") + name, self.block, "", bool(stack) or opens))
             if name == "br":
                 self._text(" ", link > 0, bool(stack))
             if name == "a":
@@ -87,7 +89,7 @@ class Page:
                         break
             elif stack and stack[-1][0] == name:
                 stack[-1][1] += 1
-            elif name in OUTSIDE or name not in EDGES and self._hinted(m["rest"]):
+            elif opens:
                 stack.append([name, 1])
         if at < len(html):
             self._text(html[at:], link > 0, bool(stack))
@@ -140,7 +142,8 @@ def weights() -> dict[str, float]:
     out = {}
     for kind in {*inside, *outside}:
         odds = log((inside[kind] + 0.5) / (n_in + 1)) - log((outside[kind] + 0.5) / (n_out + 1))
-        out[kind] = max(odds, 0.2) if kind in ("word", "link") else min(odds, -0.1)
+        out[kind] = max(odds, 0.2) if kind == "word" else min(odds, -0.1)
+    out["link"] = out["word"]  # the tags around a link tell menus from references
     return out
 
 
@@ -154,9 +157,9 @@ def region(tokens: list[tuple[str, int, str, bool]], weight: dict[str, float]) -
     total, start = 0.0, 0
     for i, token in enumerate(tokens):
         kind, _, text, outside = token
-        if text:
-            total += 0.0 if outside else weight[kind] * len(text.split())
-        else:
+        if text and not outside:
+            total += weight[kind] * len(text.split())
+        elif not outside:
             total += weight.get(kind, OTHER_TAG)
         if total <= 0:
             total, start = 0.0, i + 1

@@ -110,6 +110,20 @@ def test_html(spark):
     assert html.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_html_keeps_text_around_excluded_blocks():
+    links = [f'<li><a href="/{i}">go{i}</a></li>' for i in range(10)]
+    first, last = " ".join(f"one{i}" for i in range(30)), " ".join(f"two{i}" for i in range(20))
+    share = f'<div class="share"><ul>{"".join(links[:3])}</ul></div>'
+    related = f'<aside><ul>{"".join(links)}</ul></aside><script>var x = "<p>";</script><form><input><label>L</label><button>B</button></form>'
+    page = f"<body><article><h1>A title of five words</h1>{share}<p>{first}</p>{related}<p>{last}</p></article></body>"
+    assert html.main_text(page) == f"A title of five words\n\n{first}\n\n{last}"
+    works = [f"Author {i}, a cited work of {1990 + i}" for i in range(6)]
+    cited = "".join(f'<li><a href="/{i}">{w}</a></li>' for i, w in enumerate(works))
+    assert html.main_text(f"<body><article><p>{first}</p><ul>{cited}</ul></article></body>") == "\n\n".join([first, *works])
+    for before, content, after in html.labelled_pages():
+        assert html.main_text(before + content + after) == html.main_text(content)
+
+
 def test_mixing_targets():
     assert mixing.targets([100, 100, 100], [5, 2, 1]) == [187.5, 75.0, 37.5]
     assert mixing.targets([10, 1000, 1000], [5, 2, 1]) == [30.0, 1980 * 2 / 3, 660.0]
