@@ -82,8 +82,8 @@ FROM (SELECT doc_id, regexp_extract_all(lower(text), '{W_}') AS w FROM documents
 
 
 def minhash_signature(spark, sf):
-    """Eight-place md5 signatures of every document."""
-    s = H.minhash_signature(T.shingles(F.col("text")), 8)
+    """64-place md5 signatures of every document."""
+    s = H.minhash_signature(T.shingles(F.col("text")))
     return _docs(spark, sf).select("doc_id", F.array_join(s, ",").alias("signature"))
 
 

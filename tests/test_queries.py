@@ -67,3 +67,14 @@ def test_top_k_limits_groups_before_the_shuffle(spark):
 def test_near_duplicates_need_no_cartesian_product(spark):
     df = registry.queries()["near_dup_pairs"](spark, FOLDER)
     assert "Cartesian" not in df._jdf.queryExecution().toString()
+
+
+def test_minhash_signature_has_64_places(spark, duck):
+    """Against the twin's form with all 64 permutations, on some documents."""
+    from lodestone.plans import corpus
+
+    few = "CREATE OR REPLACE TEMP VIEW few AS SELECT * FROM documents WHERE doc_id % 10 = 0"
+    duck.sql(few)
+    want = dict(duck.sql(corpus.MINHASH.replace("range(8)", "range(64)").replace("FROM documents", "FROM few")).fetchall())
+    got = {r["doc_id"]: r["signature"] for r in registry.queries()["minhash_signature"](spark, FOLDER).filter("doc_id % 10 = 0").collect()}
+    assert got == want and {len(s.split(",")) for s in got.values()} == {64}
