@@ -153,19 +153,19 @@ SYNONYMS = f"""SELECT item_id AS qid, text || ' ' || array_to_string(list_transf
 lambda w: CASE w WHEN 'the' THEN 'a that' ELSE 'from' END), ' ') AS expanded FROM benchmark"""
 
 
-def _vector_query(spark, sf):
+def _vector_queries(spark, sf):
     vectors = read(spark, sf, "embeddings")
-    return vectors, vectors.filter("vec_id = 7").select("embedding")
+    return vectors, vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding")
 
 
 def knn_cosine(spark, sf):
-    vectors, query = _vector_query(spark, sf)
-    return R.nearest(vectors, query, "vec_id", K)
+    vectors, queries = _vector_queries(spark, sf)
+    return R.nearest(vectors, queries, "vec_id", K)
 
 
 def knn_euclidean(spark, sf):
-    vectors, query = _vector_query(spark, sf)
-    return R.nearest(vectors, query, "vec_id", K, "euclidean")
+    vectors, queries = _vector_queries(spark, sf)
+    return R.nearest(vectors, queries, "vec_id", K, "euclidean")
 
 
 def _knn_sql(score: str, order: str) -> str:

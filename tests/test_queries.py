@@ -78,3 +78,26 @@ def test_minhash_signature_has_64_places(spark, duck):
     want = dict(duck.sql(corpus.MINHASH.replace("range(8)", "range(64)").replace("FROM documents", "FROM few")).fetchall())
     got = {r["doc_id"]: r["signature"] for r in registry.queries()["minhash_signature"](spark, FOLDER).filter("doc_id % 10 = 0").collect()}
     assert got == want and {len(s.split(",")) for s in got.values()} == {64}
+
+
+def _all_nearest(duck, score, order, k, where="true"):
+    return rows(
+        ["qid", "score", "vec_id"],
+        duck.sql(f"""SELECT qid, s, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s {order}, vec_id) AS r FROM
+(SELECT q.vec_id AS qid, e.vec_id, round({score}(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS s FROM embeddings e, embeddings q
+WHERE q.vec_id % 100 = 0 AND {where})) WHERE r <= {k}""").fetchall(),
+    )
+
+
+@pytest.mark.parametrize(
+    "name, arguments",
+    [
+        ("knn_cosine", ("list_cosine_similarity", "DESC", 10)),
+        ("knn_euclidean", ("list_distance", "ASC", 10)),
+        ("filtered_topk", ("list_cosine_similarity", "DESC", 5, "e.label = 1 AND e.vec_id <> q.vec_id")),
+    ],
+)
+def test_every_hundredth_vector_is_a_query(spark, duck, name, arguments):
+    df = registry.queries()[name](spark, FOLDER)
+    assert rows(df.columns, df.collect()) == _all_nearest(duck, *arguments)
+    assert df.select("qid").distinct().count() == duck.sql("SELECT count(*) FROM embeddings WHERE vec_id % 100 = 0").fetchall()[0][0] > 1
