@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import STOP_JUDGE, STOP_METRIC, atomic_claims
 from ..operators import evaluation as E
 from ..operators import monitoring as M
-from .common import read
+from .common import read, user_turns
 
 B = r"[\x20\x09-\x0D]"
 NB = r"[^\x20\x09-\x0D]+"
@@ -277,13 +277,11 @@ def feedback_candidates(spark, sf):
 
 
 def exact_cache_key(spark, sf):
-    turns = read(spark, sf, "conversations").filter("turn = 0").select(F.col("conv_id").alias("id"), "text")
-    return M.exact_cache_hits(turns)
+    return M.exact_cache_hits(user_turns(spark, sf)).select("id.conv_id", "id.turn", "hit")
 
 
 def lru_cache(spark, sf):
-    turns = read(spark, sf, "conversations").filter("turn = 0").select(F.col("conv_id").alias("id"), "text")
-    return M.lru_content(turns, 100)
+    return M.lru_content(user_turns(spark, sf)).select("key", "last_used.conv_id", "last_used.turn")
 
 
 KEY = f"sha256(trim(regexp_replace(lower(text), '{B}+', ' ', 'g')))"

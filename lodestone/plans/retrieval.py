@@ -8,7 +8,7 @@ from ..functions.hashing import hash_embed
 from ..functions.text import STOP_CACHE, STOP_QUERY, tokenize_alnum, tokenize_stopwords, tokenize_words
 from ..functions.vectors import l2_normalize
 from ..operators import retrieval as R
-from .common import read
+from .common import read, user_turns
 
 K = 10
 WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
@@ -192,11 +192,11 @@ SELECT doc_id, array_to_string(list_transform(v, lambda x: CAST(round(CASE WHEN
 
 
 def semantic_cache(spark, sf):
-    """For each user turn the nearest earlier conversation's first turn by hashed vectors, where it reaches 0.92."""
+    """For each user turn the nearest earlier user turn by hashed vectors, where it reaches 0.92."""
     from ..operators.monitoring import semantic_cache_hits
 
-    turns = read(spark, sf, "conversations").filter("turn = 0").select(F.col("conv_id").alias("id"), "text")
-    return semantic_cache_hits(turns, 0.92)
+    hits = semantic_cache_hits(user_turns(spark, sf), 0.92)
+    return hits.select("id.conv_id", "id.turn", F.col("hit_id.conv_id").alias("hit_conv_id"), F.col("hit_id.turn").alias("hit_turn"), "similarity")
 
 
 def retrieval_metrics(spark, sf):

@@ -101,3 +101,24 @@ def test_every_hundredth_vector_is_a_query(spark, duck, name, arguments):
     df = registry.queries()[name](spark, FOLDER)
     assert rows(df.columns, df.collect()) == _all_nearest(duck, *arguments)
     assert df.select("qid").distinct().count() == duck.sql("SELECT count(*) FROM embeddings WHERE vec_id % 100 = 0").fetchall()[0][0] > 1
+
+
+def test_caches_see_every_user_turn(spark, duck):
+    from lodestone.functions.hashing import hash_embed
+    from lodestone.plans import common, evaluation
+
+    got = registry.queries()["exact_cache_key"](spark, FOLDER)
+    turns = "FROM conversations WHERE role = 'user'"
+    want = duck.sql(f"SELECT conv_id, turn, row_number() OVER (PARTITION BY {evaluation.KEY} ORDER BY conv_id, turn) > 1 AS hit {turns}")
+    assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall()) and got.filter("turn > 0").count() > 0
+    got = registry.queries()["lru_cache"](spark, FOLDER)
+    want = duck.sql(f"SELECT {evaluation.KEY} AS key, conv_id, turn {turns} QUALIFY row_number() OVER (PARTITION BY {evaluation.KEY} ORDER BY conv_id DESC, turn DESC) = 1 ORDER BY conv_id DESC, turn DESC LIMIT 256")
+    assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
+    v = {tuple(r["id"]): r["v"] for r in hash_embed(common.user_turns(spark, FOLDER), "id").collect()}
+    best = {}
+    for a in v:
+        found = [(-round(sum(x * y for x, y in zip(v[a], v[b], strict=True)), 6), b) for b in v if b < a]
+        if found and -min(found)[0] >= 0.92:
+            best[a] = (min(found)[1], -min(found)[0])
+    found = registry.queries()["semantic_cache"](spark, FOLDER).collect()
+    assert {(r["conv_id"], r["turn"]): ((r["hit_conv_id"], r["hit_turn"]), r["similarity"]) for r in found} == best
