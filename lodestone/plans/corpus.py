@@ -160,8 +160,9 @@ SELECT sig, count(DISTINCT doc_id) AS pages, CASE WHEN length(trim(replace(sig,
 
 
 def line_signature(spark, sf):
-    """The most frequent form of each document's first line."""
-    return _docs(spark, sf).select("doc_id", T.line_signature(F.element_at(F.split("text", "\n"), 1)).alias("sig"))
+    """The form of every line of each document, by its place from 0."""
+    lines = _docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return lines.select("doc_id", "pos", T.line_signature(F.col("line")).alias("sig"))
 
 
 def pii_detect(spark, sf):

@@ -122,3 +122,12 @@ def test_caches_see_every_user_turn(spark, duck):
             best[a] = (min(found)[1], -min(found)[0])
     found = registry.queries()["semantic_cache"](spark, FOLDER).collect()
     assert {(r["conv_id"], r["turn"]): ((r["hit_conv_id"], r["hit_turn"]), r["similarity"]) for r in found} == best
+
+
+def test_line_signature_of_every_line(spark, duck):
+    from lodestone.plans.evaluation import B
+
+    got = registry.queries()["line_signature"](spark, FOLDER)
+    want = duck.sql(f"""SELECT doc_id, pos, trim(regexp_replace(regexp_replace(lower(x), '[0-9]+', '#', 'g'), '{B}+', ' ', 'g')) AS sig FROM
+(SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)""")
+    assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall()) and got.filter("pos > 0").count() > 0
