@@ -145,10 +145,21 @@ def test_splitting_tree():
     assert (split == mixing.split_quotas(quotas, 7, 1)).all()
 
 
-def test_mixing_plan(spark, odd, empty):
+def test_permutations():
+    for n, key in ((1, 0), (2, -1), (3, 5), (10, 2**62), (1000, 9), (4097, 3)):
+        x = np.arange(n)
+        p = mixing.permuted(x, n, key)
+        assert sorted(p.tolist()) == x.tolist() and (mixing.permuted(p, n, key, inverse=True) == x).all()
+    assert (mixing.permuted(np.arange(1000), 1000, 1) != mixing.permuted(np.arange(1000), 1000, 2)).mean() > 0.9
+
+
+def mixed_rows():
     random.seed(4)
-    rows = [(i, " ".join(["w"] * random.randint(0, 60)), f"s{random.choice([0, 0, 0, 1, 2])}") for i in range(400)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    return [(i, " ".join(["w"] * random.randint(0, 60)), f"s{random.choice([0, 0, 0, 1, 2])}") for i in range(400)]
+
+
+def test_mixing_plan(spark, odd, empty):
+    docs = spark.createDataFrame(mixed_rows(), "doc_id bigint, text string, source string")
     got = mixing.plan(docs, shards=8, block_words=64).collect()
     assert len(got) == 400
     for s in {r["source"] for r in got}:
@@ -156,12 +167,59 @@ def test_mixing_plan(spark, odd, empty):
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own)
         assert all(r["taken"] in {0, r["size"], 2 * r["size"], 3 * r["size"]} for r in own)
     assert pairs(mixing.plan(docs, 8, 64), "doc_id", "taken") == pairs(mixing.plan(docs.repartition(7), 8, 64), "doc_id", "taken")
+    assert pairs(mixing.plan(docs, 8, 64, seed=12), "doc_id", "taken") != pairs(mixing.plan(docs, 8, 64), "doc_id", "taken")
     mixed = mixing.mix_documents(docs, shards=8, block_words=64)
-    assert mixed.columns == docs.columns and sum(len(r["text"].split()) for r in mixed.collect()) == sum(r["taken"] for r in got)
+    assert mixed.columns == docs.columns and pairs(mixed, "doc_id") == collections.Counter({(r["doc_id"],): r["taken"] // r["size"] for r in got if r["taken"]})
     strange = mixing.plan(odd).collect()
     assert len(strange) == len(ODD) and all(r["taken"] <= 3 * r["size"] for r in strange)
-    assert mixing.mix_documents(odd).columns == odd.columns and mixing.mix_documents(odd).count() == sum(len(r["shards"]) for r in strange)
-    assert mixing.plan(empty).count() == 0
+    clash = odd.selectExpr("*", "1 AS _n", "2 AS shard", "3 AS s", "4 AS size", "5 AS row", "6 AS block", "7 AS draws")
+    assert mixing.mix_documents(clash).columns == clash.columns and mixing.mix_documents(clash).count() == sum(len(r["shards"]) for r in strange)
+    assert {tuple(r[-7:]) for r in mixing.mix_documents(clash).collect()} == {(1, 2, 3, 4, 5, 6, 7)}
+    assert mixing.plan(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
+
+
+def test_mixing_follows_the_tree(spark):
+    """The tree, grown here node by node, deals each block that is drawn to one leaf; shards list exactly those leaves."""
+    docs = spark.createDataFrame(mixed_rows(), "doc_id bigint, text string, source string")
+    rows = mixing._keyed(docs, 11).cache()
+    sources, draws = mixing._draws(rows, 8, 64, mixing.WEIGHTS, mixing.CAP, 11)
+    blocks = {r["s"]: r["blocks"] for r in sources.collect()}
+    drawn = [(r["s"], r["block"], d["pass"], d["shard"]) for r in draws.collect() for d in r["draws"]]
+    assert len(set(drawn)) == len(drawn) == len({x[:3] for x in drawn})  # no block twice in a pass
+    names = sorted(blocks)
+    quotas = [sum(x[0] == s for x in drawn) for s in names]
+    per_shard = np.array([[sum(x[0] == s and x[3] == k for x in drawn) for s in names] for k in range(8)])
+    assert (per_shard == mixing.split_quotas(quotas, 8, 11)).all()
+    for s, q in zip(names, quotas, strict=True):
+        full = {p for p in range(3) if sum(x[0] == s and x[2] == p for x in drawn) == blocks[s]}
+        assert full == set(range(q // blocks[s]))  # whole passes first
+    listed = collections.Counter()
+    for r in mixing._taken(rows, sources, draws).filter("size > 0").collect():
+        want = {(d[2], d[3]) for d in drawn if d[0] == r["s"] and d[1] == r["block"]}
+        have = {(d["pass"], d["shard"]) for d in r["draws"]}
+        assert have <= want
+        listed[len(want - have) > 0] += 1
+    assert listed[True] <= 10  # only in the last block of a source
+
+
+def test_mixing_columns_against_sql(spark):
+    import duckdb
+
+    docs = spark.createDataFrame(mixed_rows() + [(900, "a b", None)], "doc_id bigint, text string, source string")
+    connection = duckdb.connect()
+    connection.register("documents", docs.toPandas())
+    want = connection.execute(
+        r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+        s AS (SELECT source, sum(size) AS n FROM d GROUP BY source),
+        w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM s),
+        x AS (SELECT *, row_number() OVER o AS i, sum(n) OVER () - coalesce(sum(3 * n) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_n,
+        sum(w) OVER (ORDER BY n / w DESC, source DESC NULLS FIRST) AS left_w FROM w WINDOW o AS (ORDER BY n / w, source NULLS LAST)),
+        e AS (SELECT min(i) AS ei FROM x WHERE 3 * n * left_w >= w * left_n),
+        g AS (SELECT source, n, CASE WHEN i < ei THEN 3.0 * n ELSE w * (SELECT left_n FROM x, e WHERE i = ei) / (SELECT left_w FROM x, e WHERE i = ei) END AS target FROM x, e)
+        SELECT doc_id, size, n, target FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source"""
+    ).fetchall()
+    got = mixing.plan(docs).select("doc_id", "size", "source_size", "target").collect()
+    assert sorted((i, s, n, round(float(t), 6)) for i, s, n, t in want) == sorted((i, s, n, round(t, 6)) for i, s, n, t in got)
 
 
 def test_sentencepiece(spark, odd, empty):
