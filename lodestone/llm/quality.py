@@ -4,11 +4,13 @@ A byte becomes a fixed vector of its kind and some fixed random features. Filter
 bytes that start every STRIDE bytes. Activations are max-pooled over chunks of CHUNK bytes that overlap by half and
 cover the whole document; the mean and the maximum over the chunks go through a logistic layer to one probability.
 
-Fitting reads at most SAMPLE labelled documents, chosen by a hash of the id, and of each of those at most FIT_BYTES, in
-slices spread evenly over the whole text. Scoring reads every byte of every text, in bounded stretches.
+Fitting reads whole texts of a bounded sample of labelled rows: in the order of a hash of the id, at most SAMPLE rows,
+each of them unless it would bring the sample's bytes above SAMPLE_BYTES. Scoring reads every byte of every text. Both
+go through a text in stretches of one grid, of BUDGET bytes about, which bounds memory and changes no result.
 
 Results for odd input: null and empty texts are one chunk of zero bytes and get that chunk's probability; without
-both labels in the sample every score is the share of label 1 (0.5 without any label); repeated rows score alike.
+both labels in the sample every score is near the share of label 1 (smoothed by 0.001; 0.5 without any label); repeated
+rows score alike; a label counts once however many rows have its id, with the text of the least hash.
 """
 
 from __future__ import annotations
@@ -20,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.durable import written
 from .common import hash_sample, map_batches
 
 WIDTH, STRIDE, CHUNK, FILTERS = 8, 4, 512, 32
 HALF = CHUNK // 2
 WINDOWS = HALF // STRIDE
-SAMPLE, FIT_BYTES, SLICE = 3_000, 65_536, 4_096
+SAMPLE, SAMPLE_BYTES = 3_000, 32_000_000
 EPOCHS, BATCH, RATE = 8, 48, 0.004
 #: Bytes that the network holds at once.
 BUDGET = 1_000_000
@@ -65,12 +68,11 @@ def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(t.ljust(int(n) * HALF, b"\0") for t, n in zip(texts, halves, strict=True)), np.uint8), halves
 
 
-def windows(flat: np.ndarray) -> np.ndarray:
-    """A row of WIDTH byte vectors for every STRIDE bytes."""
-    steps = VECTORS[np.r_[flat, np.zeros(WIDTH - STRIDE, np.uint8)]].reshape(-1)
+def windows(flat: np.ndarray, n: int) -> np.ndarray:
+    """The first n windows: a row of WIDTH byte vectors for every STRIDE bytes. Zero bytes follow the end."""
+    steps = VECTORS[np.r_[flat, np.zeros(n * STRIDE + WIDTH - STRIDE - len(flat), np.uint8)]].reshape(-1)
     d = VECTORS.shape[1]
-    shape, strides = (len(flat) // STRIDE, WIDTH * d), (steps.strides[0] * STRIDE * d, steps.strides[0])
-    return np.lib.stride_tricks.as_strided(steps, shape, strides)
+    return np.lib.stride_tricks.as_strided(steps, (n, WIDTH * d), (steps.strides[0] * STRIDE * d, steps.strides[0]))
 
 
 @dataclass
@@ -80,44 +82,35 @@ class Network:
     weights: np.ndarray
     bias: float
 
-    def activations(self, flat: np.ndarray, halves: np.ndarray) -> np.ndarray:
-        """Half-chunks by windows by filters. Each text's last window, which is blank, counts 0."""
-        out = np.ascontiguousarray(windows(flat)) @ self.filters
-        out += self.shift
-        np.maximum(out, 0, out=out)
-        out = out.reshape(-1, WINDOWS, self.filters.shape[1])
-        out[np.cumsum(halves) - 1, -1] = 0
-        return out
+    def tops(self, flat: np.ndarray, halves: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """For each half-chunk and filter the greatest activation and, if asked, its window. Last, blank windows count 0."""
+        top = np.empty((len(flat) // HALF, self.filters.shape[1]), np.float32)
+        place = np.empty(top.shape, np.uint8) if places else None
+        last = np.cumsum(halves) - 1
+        step = max(BUDGET // HALF, 1)
+        for a in range(0, len(top), step):
+            b = min(a + step, len(top))
+            # the last window of a stretch reads on into the next one
+            out = np.ascontiguousarray(windows(flat[a * HALF : b * HALF + WIDTH - STRIDE], (b - a) * WINDOWS)) @ self.filters
+            out += self.shift
+            np.maximum(out, 0, out=out)
+            out = out.reshape(-1, WINDOWS, self.filters.shape[1])
+            out[last[np.searchsorted(last, a) : np.searchsorted(last, b)] - a, -1] = 0
+            if places:
+                place[a:b] = out.argmax(axis=1)
+                top[a:b] = np.take_along_axis(out, place[a:b, None].astype(np.int64), 1)[:, 0]
+            else:
+                top[a:b] = out.max(axis=1)
+        return top, place
 
     def pooled(self, texts: list[bytes]) -> np.ndarray:
         """Mean and maximum over the chunks, for each text."""
         out = np.zeros((len(texts), 2 * self.filters.shape[1]))
         for run in _runs(texts):
-            if len(texts[run.start]) > BUDGET:
-                out[run] = self._pooled_long(texts[run.start])
-                continue
             flat, halves = layout(texts[run])
-            out[run] = np.concatenate(chunk_means(self.activations(flat, halves).max(axis=1), halves), axis=1)
+            out[run] = np.concatenate(chunk_means(self.tops(flat, halves)[0], halves), axis=1)
         return out
 
-    def _pooled_long(self, text: bytes) -> np.ndarray:
-        """The same of one text, by stretches of whole half-chunks: chunks add up, and one division by their number ends it."""
-        n, step = _halves(text), max(BUDGET // HALF, 1)
-        total = np.zeros(self.filters.shape[1])
-        most, before = total, None
-        for a in range(0, n, step):
-            b = min(a + step, n)
-            # with one half-chunk more, as the last window reads on into it
-            flat, halves = layout([text[a * HALF : (b + 1) * HALF]])
-            top = self.activations(flat, halves).max(axis=1)[: b - a]
-            joined = top if before is None else np.concatenate([before, top])
-            if len(joined) > 1:
-                pair = np.maximum(joined[:-1], joined[1:])
-                total = total + pair.sum(axis=0, dtype=float)
-                most = np.maximum(most, pair.max(axis=0))
-            before = top[-1:]
-        return np.concatenate([total / (n - 1), most])
-
     def probability(self, texts: list[bytes]) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.pooled(texts) @ self.weights + self.bias)))
 
@@ -143,7 +136,7 @@ def chunk_means(top: np.ndarray, halves: np.ndarray) -> tuple[np.ndarray, np.nda
     alone = halves == 1
     pair[last[alone]] = top[last[alone]]
     start = last - halves + 1
-    return np.add.reduceat(pair, start, axis=0) / np.maximum(halves - 1, 1)[:, None], np.maximum.reduceat(pair, start, axis=0)
+    return np.add.reduceat(pair, start, axis=0, dtype=float) / np.maximum(halves - 1, 1)[:, None], np.maximum.reduceat(pair, start, axis=0)
 
 
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 3) -> Network:
@@ -166,9 +159,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 3) -> Network:
             who = order[a : a + BATCH]
             flat, halves = layout([texts[i] for i in who])
             y = labels[who]
-            act = net.activations(flat, halves)
-            arg = act.argmax(axis=1)
-            top = np.take_along_axis(act, arg[:, None], 1)[:, 0]
+            top, arg = net.tops(flat, halves, places=True)
             mean, most = chunk_means(top, halves)
             z = np.concatenate([mean, most], axis=1)
             error = (1 / (1 + np.exp(-(z @ net.weights + net.bias))) - y) / len(y)
@@ -188,9 +179,14 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 3) -> Network:
             g_top = np.where((tail & single)[:, None] | ~tail[:, None] & first_wins, g, 0)
             g_top[1:] += np.where(~tail[:-1, None] & ~first_wins[:-1], g[:-1], 0)
             g_top = np.where(top > 0, g_top, 0)
-            rows = (np.arange(len(top))[:, None] * WINDOWS + arg).astype(np.int64)
-            view = windows(flat)
-            g_filters = np.stack([view[rows[:, f]].T @ g_top[:, f].astype(np.float32) for f in range(FILTERS)], axis=1)
+            # of each half-chunk's best window only its bytes are looked up again
+            at = np.arange(len(top))[:, None] * HALF + arg.astype(np.int64) * STRIDE
+            padded = np.r_[flat, np.zeros(WIDTH, np.uint8)]
+            g_filters = np.zeros_like(net.filters)
+            for f in range(FILTERS):
+                used = np.flatnonzero(g_top[:, f])
+                best = VECTORS[padded[at[used, f, None] + np.arange(WIDTH)]].reshape(len(used), d)
+                g_filters[:, f] = best.T @ g_top[used, f].astype(np.float32)
             step += 1
             rate = RATE * (1 - step / (EPOCHS * (len(order) / BATCH + 1)))
             grads = (g_filters, g_top.sum(axis=0), z.T @ error + 1e-4 * net.weights, error.sum())
@@ -205,32 +201,24 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 3) -> Network:
     return net
 
 
-def spread(raw: bytes) -> bytes:
-    """At most FIT_BYTES of a text for fitting: slices spread evenly from its start to its end."""
-    if len(raw) <= FIT_BYTES:
-        return raw
-    n = FIT_BYTES // SLICE
-    starts = np.linspace(0, len(raw) - SLICE, n).astype(int)
-    return b"".join(raw[a : a + SLICE] for a in starts)
-
-
-def fit(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SAMPLE) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, training: Column, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Network:
     """Learns labels.quality of a sample of the rows of labels where training, a Column over its doc_id, holds.
 
     A doc_id that labels repeats counts with its greatest quality.
     """
     known = labels.filter(training & F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
-    known = known.groupBy(F.col("doc_id").cast("bigint").alias("_labelled")).agg(F.max("quality").cast("int").alias("_quality"))
-    chosen = F.broadcast(hash_sample(known, "_labelled", sample))  # sample rows at most
-
-    @F.pandas_udf("binary")
-    def shorter(text):
-        return text.map(lambda t: spread(bytes(t) if t is not None else b""))
-
-    rows = docs.join(chosen, docs["doc_id"].cast("bigint") == F.col("_labelled"))
-    rows = rows.select("_labelled", "_quality", shorter(docs["text"].cast("string").cast("binary")).alias("_text")).toPandas()
-    rows = rows.drop_duplicates("_labelled").sort_values("_labelled")
-    return train([bytes(t) for t in rows["_text"]], rows["_quality"].to_numpy(dtype=float))
+    known = known.groupBy(F.col("doc_id").cast("bigint").alias("id")).agg(F.max("quality").cast("int").alias("quality"))
+    chosen = F.broadcast(hash_sample(known, "id", sample))  # sample rows at most
+    text = docs["text"].cast("string")
+    rows = docs.select(docs["doc_id"].cast("bigint").alias("id"), F.struct(F.xxhash64(text), F.coalesce(text, F.lit("")).alias("text")).alias("t")).join(chosen, "id")
+    rows = written(rows.groupBy("id", "quality").agg(F.min("t").alias("t")).select("id", "quality", F.col("t.text").cast("binary").alias("text")), "sample")
+    left, ids = sample_bytes, []
+    for r in rows.select("id", F.octet_length("text").alias("n")).orderBy(F.xxhash64(F.lit(7), "id"), "id").collect():
+        if r["n"] <= left:
+            left -= r["n"]
+            ids.append(r["id"])
+    rows = rows.filter(F.col("id").isin(ids)).toPandas().sort_values("id")
+    return train([bytes(t) for t in rows["text"]], rows["quality"].to_numpy(dtype=float))
 
 
 def score_documents(docs: DataFrame, net: Network) -> DataFrame:

@@ -74,6 +74,27 @@ def test_quality_scores_alike_in_one_stretch_or_several(monkeypatch):
     for budget in (1000, 1024, 4096):
         monkeypatch.setattr(quality, "BUDGET", budget)
         assert np.allclose(net.pooled(texts), whole, rtol=1e-4)
+    monkeypatch.undo()
+    for n in (900_000, 1_100_000, 5_000_000):  # on both sides of the budget
+        text = bytes(rng.integers(97, 123, n - 300, np.uint8)) + b"#" * 300
+        p = net.probability([text])[0]
+        monkeypatch.setattr(quality, "BUDGET", 10 * n)
+        assert abs(net.probability([text])[0] - p) < 1e-5
+        monkeypatch.undo()
+
+
+def test_quality_fits_whole_texts_of_a_bounded_sample(spark, monkeypatch):
+    rows = [(i, f"text {i} " * 40_000) for i in range(6)] + [(3, "another text of the same id"), (3, None), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)] * 2, "doc_id bigint, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda texts, y: seen.append((texts, y.tolist())))
+    quality.fit(docs, labels, F.lit(True))
+    quality.fit(docs.repartition(5), labels, F.lit(True))
+    assert seen[0] == seen[1] and seen[0][1] == [0.0, 1.0, 0.0, 1.0, 0.0, 1.0]
+    assert all(t == rows[i][1].encode() for i, t in enumerate(seen[0][0]) if i != 3)  # whole, however long
+    quality.fit(docs, labels, F.lit(True), sample_bytes=700_000)
+    assert len(seen[2][0]) < 6 and sum(map(len, seen[2][0])) <= 700_000
 
 
 def test_quality_gradient():
