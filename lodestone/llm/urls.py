@@ -1,7 +1,8 @@
 """URL filter: host and path rules first, then a logistic regression on hashed character n-grams.
 
-The regression is trained here from a small labelled table of invented URLs, built from the word lists below. It reads
-host and path only, so schemes, queries and fragments never matter.
+The regression is trained here from a small labelled table of invented URLs. Their hosts and paths are put together at
+random from the word lists below, plain ones also from random syllables; a URL is unwanted if its host or its path
+holds an unwanted word. The regression reads host and path only, so schemes, queries and fragments never matter.
 
 Results for odd input: a null url, or one without ://, has an empty host and path, fits no rule and is allowed, as
 there is nothing to judge; repeated rows are judged alike.
@@ -9,6 +10,7 @@ there is nothing to judge; repeated rows are judged alike.
 
 from __future__ import annotations
 
+import random
 import zlib
 from functools import lru_cache
 
@@ -16,73 +18,97 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 14
+BUCKETS, LABELLED = 1 << 16, 15_000
 
-# The labelled table's parts. Unwanted sites by the words that such hosts are made of, and plain ones.
-BLOCKED = (
-    "casino-win bet-casino free-bets bets-online lucky-slots poker-cash jackpot-spin cheap-pills pills-discount viagra-shop "
-    "adult-x adult-cam xxx-video porn-tube sex-chat hot-escort spam-farm link-farm seo-spam click-farm ads-track track-ads "
-    "ad-server banner-click popup-ads phish-login verify-account free-prize win-iphone get-rich crack-serial warez-keygen "
-    "torrent-free malware-drop fake-watches replica-bags payday-loan quick-loans crypto-double free-followers"
+# Words of unwanted and of plain URLs; among the plain ones some that hold an unwanted word's letters.
+UNWANTED = (
+    "casino bet bets betting gambling gamble slots slot poker jackpot roulette blackjack bingo lottery wager bookmaker pills viagra cialis "
+    "pharmacy tramadol xanax adult porn porno xxx sex sexy nude cams camgirl escort hentai milf spam linkfarm backlinks clickbank adserver "
+    "popads tracker phish phishing verifyaccount freeprize giveaway crack cracked keygen warez serialkey torrent torrents malware trojan "
+    "replica fakewatches payday loans quickcash getrich doubler airdrop followers likesbuy darkmarket"
 ).split()
-ALLOWED = (
-    "cooking garden history library museum science physics weather news travel school college music poetry bridge river "
-    "mountain forest kitchen bakery letters theatre painting chess football running cycling sailing health doctor teacher "
-    "law council city village market harbour railway engine compiler notes essays journal archive lecture brother weather "
-    "leather gather rather southern northern nation station fiction motion education the-herald that-there other-things "
-    "thinking within breath earth thorough thirteen question tradition attention relation interest entrance handbook "
-    "city-library art-museum garden-notes old-railways book-of-rivers school-of-music open-lectures world-history house-plants "
-    "bird-watching public-health town-council rain-and-wind sea-travel little-theatre home-cooking science-letters y x-ray abc my-site"
+PLAIN = (
+    "cooking garden history library museum science physics weather news travel school college music poetry bridge river mountain forest "
+    "kitchen bakery letters theatre painting chess football running cycling sailing health doctor teacher law council city village market "
+    "harbour railway engine compiler notes essays journal archive lecture books photo house family green blue north south east west home "
+    "open world little old new public local daily weekly central park street better alphabet betty elizabeth essex sussex middlesex sextant "
+    "pillow adventure address shadow analysis analog cocktail peacock assets classic passage document trackwork soundtrack slotted spamalot "
+    "scunthorpe torrential crackers serial likes following lottie beta tibet pokerwork loaned airport drops cash rich watch account free "
+    "cheap online best shop club app blog group service team support download login search account gallery guide review help forum"
 ).split()
-ENDINGS = ("com", "example.com", "org", "example.org", "net", "example.net", "info", "co.uk", "de")
-FRONTS = ("", "www.", "blog.", "m.", "news.")
-PATHS = ("", "/", "/en/12", "/de/345/", "/fr/67.html", "/es/890", "/about", "/2021/05/notes")
+PATHS = "about news article story post posts category tag archive index page section en de fr es blog contact help images docs wiki topics item view research report".split()
+GLUE = "free cheap online best top my the vip real live hot super go get play win your 24 365 888 777 1 2 x 4u".split()
+ENDINGS = "com org net info io co.uk de fr es edu app site online club example.com example.org example.net".split()
+FRONTS = ("", "", "", "www.", "blog.", "m.", "news.", "shop.")
+
+
+def labelled_urls(seed: int = 1, n: int = LABELLED) -> list[tuple[str, str, int]]:
+    """(host, path, 1 if unwanted) of n invented URLs."""
+    r = random.Random(seed)
+
+    def syllables() -> str:
+        pairs = "th he an in er on re st en nd at or es ti ed is ar te se al ra ri ne to io le tion ing ble wh sh ly ou ea ha nt ch sch ung que eau os ar ció".split()
+        return "".join(r.choice(pairs) for _ in range(r.randint(2, 4)))
+
+    def name(unwanted: bool) -> str:
+        words = [r.choice(PLAIN) if r.random() < 0.6 else syllables() for _ in range(r.choice((1, 1, 1, 2, 2, 3)) - unwanted)]
+        words += [r.choice(GLUE)] * (r.random() < 0.35) + [r.choice(UNWANTED)] * unwanted
+        words += [r.choice(UNWANTED)] * (unwanted and r.random() < 0.3)
+        r.shuffle(words)
+        return r.choice(("", "", "-")).join(words) or syllables()
+
+    def path(unwanted: bool) -> str:
+        parts = [r.choice((r.choice(PATHS), r.choice(PLAIN), syllables(), str(r.randrange(10_000)))) for _ in range(r.randint(0, 3))]
+        if unwanted:
+            parts.insert(r.randint(0, len(parts)), name(True))
+        end = r.choice(("", "", "/", ".html")) if parts else r.choice(("", "/"))
+        return "".join("/" + x for x in parts) + end
 
-
-def labelled_urls() -> list[tuple[str, str, int]]:
-    """(host, path, 1 if blocked): every listed word under some fronts, endings and paths."""
     out = []
-    for label, words in ((1, BLOCKED), (0, ALLOWED)):
-        for i, word in enumerate(words):
-            for j in range(6):
-                host = FRONTS[(i + j) % len(FRONTS)] + word + "." + ENDINGS[(i + 2 * j) % len(ENDINGS)]
-                out.append((host, PATHS[(3 * i + j) % len(PATHS)], label))
+    for _ in range(n):
+        kind = r.choice((0, 0, 0, 0, 1, 1, 2))  # a plain URL, an unwanted host, a plain host with an unwanted path
+        out.append((r.choice(FRONTS) + name(kind == 1) + "." + r.choice(ENDINGS), path(kind == 2 or kind == 1 and r.random() < 0.3), int(kind > 0)))
     return out
 
 
 def features(host: str, path: str) -> np.ndarray:
-    """Distinct buckets of the character 3-, 4- and 5-grams of the host and of the path, each with end marks."""
+    """Distinct buckets of the character 3- to 6-grams of the host and of the path, each with end marks.
+
+    Words of host and path share their n-grams: what is unwanted in one is so in the other.
+    """
     grams = set()
-    for kind, text in (("h", f"^{host}$"), ("p", f"^{path}$")):
-        if len(text) > 2:
-            grams.update(kind + text[i : i + n] for n in (3, 4, 5) for i in range(len(text) - n + 1))
+    for text in (f".{host}.", f"{path}/"):
+        text = text.lower().replace("-", ".").replace("/", ".").replace("_", ".")
+        grams.update(text[i : i + n] for n in (3, 4, 5, 6) for i in range(len(text) - n + 1))
     return np.fromiter({zlib.crc32(g.encode("utf-8", "replace")) % BUCKETS for g in grams}, np.int64)
 
 
-@lru_cache(1)
-def model() -> tuple[np.ndarray, float]:
-    """Weights and bias, by full-batch gradient descent; rows have unit length, so long paths weigh no more."""
-    rows = [(features(h, p), y) for h, p, y in labelled_urls()]
-    labels = np.array([y for _, y in rows], float)
-    row = np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
-    column = np.concatenate([f for f, _ in rows])
-    value = 1 / np.sqrt(np.bincount(row))[row]
-    weights, bias = np.zeros(BUCKETS), 0.0
-    for _ in range(400):
-        z = np.bincount(row, weights[column] * value, len(rows)) + bias
-        error = 1 / (1 + np.exp(-z)) - labels
-        weights -= 4.0 * (np.bincount(column, error[row] * value, BUCKETS) / len(rows) + 1e-5 * weights)
+def train(rows: list[tuple[str, str, int]]) -> tuple[np.ndarray, float]:
+    """Weights and bias, by full-batch descent with a rate for each weight."""
+    found = [features(h, p) for h, p, _ in rows]
+    labels = np.array([y for _, _, y in rows], float)
+    row, column = np.repeat(np.arange(len(rows)), [len(f) for f in found]), np.concatenate(found)
+    weights, bias, speed = np.zeros(BUCKETS), -1.0, np.full(BUCKETS, 1e-6)
+    for _ in range(120):
+        error = 1 / (1 + np.exp(-np.bincount(row, weights[column], len(rows)) - bias)) - labels
+        gradient = np.bincount(column, error[row], BUCKETS) + 0.1 * weights
+        speed += gradient**2
+        weights -= 0.15 * gradient / np.sqrt(speed)
         bias -= 0.5 * error.mean()
     return weights, bias
 
 
-def probability(host: str, path: str) -> float:
+@lru_cache(1)
+def model() -> tuple[np.ndarray, float]:
+    return train(labelled_urls())
+
+
+def probability(host: str, path: str, fitted: tuple[np.ndarray, float] | None = None) -> float:
     """That the URL should be blocked; 0 for an empty host and path."""
     if not host and not path:
         return 0.0
-    weights, bias = model()
-    found = features(host, path)
-    return float(1 / (1 + np.exp(-(weights[found].sum() / max(1.0, np.sqrt(len(found))) + bias))))
+    weights, bias = fitted or model()
+    return float(1 / (1 + np.exp(-min(max(weights[features(host, path)].sum() + bias, -500.0), 500.0))))
 
 
 def host_of(url: Column) -> Column:
@@ -113,13 +139,15 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, bool]], threshold: floa
     The verdict is the rule's; without one it is block where the regression gives threshold or more.
     """
 
+    fitted = pages.sparkSession.sparkContext.broadcast(model())  # BUCKETS numbers
+
     @F.pandas_udf("double")
     def scored(host, path):
         known: dict[tuple[str, str], float] = {}
         out = []
         for pair in zip(host, path, strict=True):
             if pair not in known:
-                known[pair] = probability(*pair)
+                known[pair] = probability(*pair, fitted.value)
             out.append(known[pair])
         import pandas as pd
 

@@ -395,6 +395,20 @@ def test_url_rules(spark):
     assert urls.filter_urls(pages, URL_RULES).count() == 2 * len(rows) and urls.filter_urls(pages.limit(0), URL_RULES).count() == 0
 
 
+def test_url_model_on_hosts_held_out():
+    """Other invented URLs, no host of which is in the labelled table, and real names of the same kinds."""
+    listed = {h for h, _, _ in urls.labelled_urls()}
+    rows = [r for r in urls.labelled_urls(2, 2_000) if r[0] not in listed]
+    p, y = np.array([urls.probability(h, q) for h, q, _ in rows]), np.array([r[2] for r in rows])
+    rank = p.argsort().argsort() + 1
+    n = y.sum()
+    assert len(rows) > 1_900 and (rank[y == 1].sum() - n * (n + 1) / 2) / (n * (len(y) - n)) > 0.97
+    for host, path in [("bet365.com", "/"), ("onlinegambling.io", "/slots/free-casino"), ("www.plain-garden.org", "/viagra/cheap-pills"), ("casinoroyale-slots.net", "")]:
+        assert urls.probability(host, path) >= 0.5
+    for host, path in [("alphabet.com", "/"), ("www.essex.ac.uk", "/news"), ("github.com", "/apache/spark"), ("betterhomes.com", ""), ("dailymail.co.uk", "/news/article-1.html")]:
+        assert urls.probability(host, path) < 0.5
+
+
 def test_language_spans(spark, odd, empty):
     random.seed(9)
     make = lambda parts, n: " ".join("".join(random.choice(parts) for _ in range(random.randint(1, 3))) for _ in range(n))
