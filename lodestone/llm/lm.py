@@ -1,20 +1,22 @@
 """Language-model scoring by a weighted backoff automaton.
 
-States are the root, the start of a text, and each word that training texts go on from. A state's arcs are the words
-that followed it in training, with the log probability of a Dirichlet-smoothed bigram; every other word takes the
-state's failure arc, of weight log10(mu / (c + mu)), to the root, whose arcs are add-a-half unigrams with one class for
-unknown words. So each state's probabilities sum to one. A text is read left to right: the state is the word just read,
-and the arc and failure weights on the way add up to the text's score.
+The states of the automaton are the root and the contexts of one to ORDER - 1 words that training texts go on from, a
+text's start being a word too. A state's arcs are the words that followed it in training, with the log probability of a
+Dirichlet-smoothed n-gram, and lead to the longest suffix of context and word that is a state. Every state but the root
+has a failure arc, of weight log10(mu / (c + mu)), to its suffix without the first word; the root's arcs are add-a-half
+unigrams with one class for unknown words, so that each state's probabilities sum to one. A text is read once from left
+to right: at each word the state fails until it has the arc, takes it, and adds up the weights on the way.
 
 Counts come from all training texts, whatever their number. No machine holds the whole model:
 
 1. Texts become blocks of word numbers with each block's own list of distinct words (a written table).
-2. Each block sends its distinct words and word pairs, as sorted hashes with its own training counts, to the reducer
-   that owns their hash range. A hot word or pair is one entry of a block at most, so ranges stay even.
+2. Each block sends its distinct n-grams, as sorted hashes with its own training counts, to the reducer that owns their
+   hash range. A hot n-gram is one entry of a block at most, so ranges stay even.
 3. A reducer adds up the counts and answers every block with the totals of just what it sent.
-4. A block builds its slice of the automaton from the answers and lets all its texts run through it at once.
+4. A block builds its slice of the automaton from the answers, and many readers traverse it at once, each a stretch of
+   the block's texts, from ORDER - 1 words before the stretch, which bring a reader into the right state.
 
-Words are told apart by 64-bit hashes, pairs by 48-bit ones.
+Words and n-grams are told apart by 64-bit hashes.
 
 Results for odd input: null and empty texts are the end token alone; with no training text every word is unknown and
 the one class has probability one; repeated rows score, and count, each; a null doc_id is in training.
@@ -35,10 +37,10 @@ from pyspark.sql import functions as F
 
 from ..operators.durable import written
 
-MU = 500.0
-#: Tokens of a block, and hashes that a reducer holds, about.
-BLOCK_TOKENS, REDUCER_KEYS = 4_000_000, 1_000_000
-PAIR_BITS = 48
+#: Smoothing of words after one word, after two, and so on; one more than their number is the order.
+MU = (300.0, 10.0)
+#: Tokens of a block, and hashes of one order that a reducer holds, about; and readers of a block at once.
+BLOCK_TOKENS, REDUCER_KEYS, READERS = 1_500_000, 1_000_000, 4_096
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -51,32 +53,26 @@ def _unpack(raw: bytes, kind) -> np.ndarray:
 
 
 def _pack_sorted(keys: np.ndarray) -> bytes:
-    """Ascending hashes as steps of 4 bytes, or as they are where a step is longer; the first byte tells which."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    if len(keys) and keys[0] >> np.uint64(32) == 0 and (steps >> np.uint64(32) == 0).all():
-        return b"4" + steps.astype(np.uint32).tobytes()
-    if len(keys) and (steps[1:] >> np.uint64(32) == 0).all():
-        return b"5" + keys[:1].tobytes() + steps[1:].astype(np.uint32).tobytes()
-    return b"8" + keys.tobytes()
+    """Ascending hashes: the first one, then the steps between them in as few bytes each as the widest needs."""
+    steps = np.diff(keys)
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+    return bytes([width]) + keys[:1].tobytes() + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
 def _unpack_sorted(raw: bytes) -> np.ndarray:
-    kind, raw = raw[:1], raw[1:]
-    if kind == b"8":
-        return np.frombuffer(raw, np.uint64)
-    if kind == b"4":
-        return np.cumsum(np.frombuffer(raw, np.uint32), dtype=np.uint64)
-    first = np.frombuffer(raw[:8], np.uint64)
-    return np.cumsum(np.r_[first, np.frombuffer(raw[8:], np.uint32).astype(np.uint64)], dtype=np.uint64)
+    first = np.frombuffer(raw[1:9], np.uint64)
+    steps = np.zeros(((len(raw) - 9) // raw[0] if len(first) else 0, 8), np.uint8)
+    steps[:, : raw[0]] = np.frombuffer(raw[9:], np.uint8).reshape(-1, raw[0])
+    return np.cumsum(np.r_[first, steps.view(np.uint64).reshape(-1)], dtype=np.uint64)
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """48-bit hashes of pairs."""
+    """Hashes of n-grams from those of their beginnings and last words."""
     with np.errstate(over="ignore"):
         x = (a ^ a >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15) + b
         x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ x >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
-    return x >> np.uint64(64 - PAIR_BITS)
+    return x ^ x >> np.uint64(31)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,58 +116,68 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Block:
-    """A block's tokens with the start before, and the end after, each text; and its distinct words and pairs."""
+    """A block's tokens, with the start before and the end after each text, and its distinct n-grams of each order."""
 
-    def __init__(self, row: dict) -> None:
-        self.ids, self.train = row["ids"], np.array(row["train"], bool)
-        self.sizes = np.array(row["sizes"], np.int64) + 1  # the end is a token
+    def __init__(self, row: dict, order: int) -> None:
+        self.ids, self.train, self.order = row["ids"], np.array(row["train"], bool), order
+        self.sizes = np.array(row["sizes"], np.int64) + 2
         words = np.r_[np.frombuffer(row["hashes"], np.uint64), END, START]
         token = _unpack(row["tokens"], np.int32)
         stop = np.cumsum(self.sizes)
-        current = np.empty(int(stop[-1]), np.int32)
-        last = np.zeros(len(current), bool)
-        last[stop - 1] = True
-        current[~last] = token
-        current[last] = len(words) - 2
-        state = np.r_[np.int32(len(words) - 1), current[:-1]]
-        state[stop - self.sizes] = len(words) - 1
-        order = np.argsort(words)
+        self.first = stop - self.sizes
+        word = np.empty(int(stop[-1]), np.int32)
+        edge = np.zeros(len(word), bool)
+        edge[stop - 1] = edge[self.first] = True
+        word[~edge] = token
+        word[stop - 1], word[self.first] = len(words) - 2, len(words) - 1
+        order_ = np.argsort(words)
         rank = np.empty(len(words), np.int32)
-        rank[order] = np.arange(len(words), dtype=np.int32)
-        self.words = words[order]
-        self.current, self.state = rank[current], rank[state]
-        pair = _mix(self.words[self.state], self.words[self.current])
-        self.pairs, self.pair = np.unique(pair, return_inverse=True)
+        rank[order_] = np.arange(len(words), dtype=np.int32)
+        self.words, self.word = words[order_], rank[word]
+        self.place = (np.arange(len(word)) - np.repeat(self.first, self.sizes)).astype(np.int32)
         self.learned = np.repeat(self.train, self.sizes)
 
-    def counts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Training counts of words, the start included, and of pairs."""
-        words = np.bincount(self.current[self.learned], minlength=len(self.words))
-        words[np.searchsorted(self.words, START)] = int(self.train.sum())
-        return words, np.bincount(self.pair[self.learned], minlength=len(self.pairs))
-
-
-def _ranges(keys: np.ndarray, bits: int, reducers: int) -> np.ndarray:
+    def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each order the distinct hashes, ascending, and the number of the n-gram that ends at each token, or -1."""
+        yield self.words, self.word
+        last = self.words[self.word]
+        hashes = last
+        for k in range(1, self.order):
+            hashes = np.r_[hashes[:1], _mix(hashes[:-1], last[1:])]
+            at = np.flatnonzero(self.place >= k)
+            distinct, inverse = np.unique(hashes[at], return_inverse=True)
+            number = np.full(len(hashes), -1, np.int32)
+            number[at] = inverse
+            yield distinct, number
+
+    def counts(self, distinct: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Training counts of the n-grams of one order."""
+        return np.bincount(number[self.learned & (number >= 0)], minlength=len(distinct))
+
+
+def _ranges(keys: np.ndarray, reducers: int) -> np.ndarray:
     """Where each reducer's range of hashes begins in keys, and the end of keys."""
-    edges = np.array([(r << bits) // reducers for r in range(1, reducers)], np.uint64)
+    edges = np.array([(r << 64) // reducers for r in range(1, reducers)], np.uint64)
     return np.r_[0, np.searchsorted(keys, edges), len(keys)]
 
 
-def _sender(reducers: int):
+def _sender(reducers: int, order: int):
+    names = ["reducer", "n", "block", "keys", "counts"]
+    types = [pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                block = Block(row)
-                out = []
-                for kind, bits, keys, counts in zip("wp", (64, PAIR_BITS), (block.words, block.pairs), block.counts(), strict=True):
-                    cuts = _ranges(keys, bits, reducers)
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                block = Block(row, order)
+                for n, (keys, number) in enumerate(block.grams(), 1):
+                    counts, cuts, out = block.counts(keys, number).astype(np.uint32), _ranges(keys, reducers), []
                     for r in range(reducers):
                         a, b = cuts[r], cuts[r + 1]
                         if a < b:
-                            out.append((r, kind, row["block"], _pack_sorted(keys[a:b]), _pack(counts[a:b].astype(np.uint32))))
-                names = ["reducer", "kind", "block", "keys", "counts"]
-                types = [pa.int32(), pa.string(), pa.string(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                            out.append((r, n, row["block"], _pack_sorted(keys[a:b]), _pack(counts[a:b])))
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     return run
 
@@ -180,10 +186,9 @@ def _reduce(sent: pa.Table) -> pa.Table:
     """Totals for each block of what it sent, and (without a block) the training tokens and distinct words seen here."""
     out = []
     reducer = sent.column("reducer")[0].as_py()
-    for kind in "wp":
-        rows = [r for r in sent.to_pylist() if r["kind"] == kind]
-        if not rows:
-            continue
+    orders = sent.column("n").to_numpy()
+    for n in np.unique(orders).tolist():
+        rows = sent.take(np.flatnonzero(orders == n)).select(["block", "keys", "counts"]).to_pylist()
         keys = [_unpack_sorted(r["keys"]) for r in rows]
         distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(inverse, np.concatenate([_unpack(r["counts"], np.uint32) for r in rows]), len(distinct)).astype(np.int64)
@@ -191,79 +196,121 @@ def _reduce(sent: pa.Table) -> pa.Table:
         for r, k in zip(rows, keys, strict=True):
             answer = total[inverse[at : at + len(k)]]
             at += len(k)
-            out.append((reducer, kind, r["block"], _pack(answer), 0, 0))
-        if kind == "w":
+            out.append((reducer, n, r["block"], _pack(answer), 0, 0))
+        if n == 1:
             real = total[distinct != START]
-            out.append((reducer, "n", "", b"", int(real.sum()), int((real > 0).sum())))
-    names = ["reducer", "kind", "block", "totals", "tokens", "distinct"]
-    types = [pa.int32(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
+            out.append((reducer, 0, "", b"", int(real.sum()), int((real > 0).sum())))
+    names = ["reducer", "n", "block", "totals", "tokens", "distinct"]
+    types = [pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
 
 class Automaton:
-    """The slice of the automaton that a block needs: arc and failure weights, log10."""
-
-    def __init__(self, words: np.ndarray, pairs: np.ndarray, tokens: int, distinct: int, mu: float) -> None:
-        """words and pairs are total training counts in the block's numbering."""
-        self.root = np.log10((words + 0.5) / (tokens + 0.5 * (distinct + 1)))
-        self.fails = np.log10(mu / (words + mu))
-        self.has_state = words > 0
-        self.pairs, self.counts, self.mu = pairs, words, mu
-
-    def run(self, block: Block) -> np.ndarray:
-        """The weight of every token of the block, each text read from the start state."""
-        root = self.root[block.current]
-        seen = self.pairs[block.pair]
-        at = self.counts[block.state]
-        with np.errstate(divide="ignore"):
-            arc = np.log10((seen + self.mu * 10.0**root) / (at + self.mu))
-        fail = np.where(self.has_state[block.state], self.fails[block.state], 0.0) + root
-        return np.where(seen > 0, arc, fail)
-
-
-def _scorer(tokens: int, distinct: int, mu: float):
+    """The slice of the automaton that a block needs.
+
+    A state is a context of some order that ends at a token; its number is that order and that token. For the arc of
+    each order into each token: whether training has it, its weight, and the weight of failing there; and, for each
+    order, whether the n-gram that ends at a token is a state. All logarithms are to base 10.
+    """
+
+    def __init__(self, block: Block, totals: list[np.ndarray], tokens: int, distinct: int, mu: tuple[float, ...]) -> None:
+        """totals: training counts of the distinct n-grams of each order, in the block's numbering."""
+        n = len(block.word)
+        self.place = block.place
+        self.has_arc, self.is_state = np.zeros((block.order, n), bool), np.zeros((block.order, n), bool)
+        self.arc, self.fail = np.zeros((block.order, n)), np.zeros((block.order, n))
+        before = probability = None
+        for k, (_, number) in enumerate(block.grams()):
+            seen = np.where(number >= 0, totals[k][number], 0)
+            if k == 0:
+                probability = (seen + 0.5) / (tokens + 0.5 * (distinct + 1))
+                self.known = seen > 0
+                self.has_arc[0] = True  # the root has an arc for every word
+                self.arc[0] = np.log10(probability)
+            else:
+                context = np.r_[0, before[:-1]]
+                self.has_arc[k] = seen > 0
+                probability = np.where(seen > 0, (seen + mu[k - 1] * probability) / (context + mu[k - 1]), probability)
+                self.arc[k] = np.log10(probability)
+                self.fail[k] = np.log10(mu[k - 1] / (context + mu[k - 1]))
+            if k + 1 < block.order:
+                self.is_state[k + 1] = seen > 0
+            before = seen
+
+    def run(self, readers: int = READERS) -> np.ndarray:
+        """The weight of every token; start tokens weigh 0 and put a reader into the state of a text's beginning."""
+        n, top = len(self.place), len(self.arc) - 1
+        weight = np.zeros(n)
+        stretch = max(1, ceil(n / readers))
+        begin = np.arange(0, n, stretch)
+        state = np.zeros(len(begin), np.int64)  # the order of the context that ends before the next token
+        for step in range(-top, stretch):
+            at = begin + step
+            who = np.flatnonzero((at >= 0) & (at < n))
+            at, now = at[who], state[who]
+            total = np.zeros(len(at))
+            for k in range(top, 0, -1):
+                stuck = np.flatnonzero((now == k) & ~self.has_arc[k, at])
+                total[stuck] += self.fail[k, at[stuck]]
+                now[stuck] = k - 1
+            total += self.arc[now, at]
+            now = np.minimum(now + 1, top)
+            new = self.place[at] == 0
+            now[new] = min(1, top)
+            total[new] = 0
+            for k in range(top, 0, -1):
+                now[(now == k) & ~self.is_state[k, at]] = k - 1
+            state[who] = now
+            if step >= 0:
+                weight[at] = total
+        return weight
+
+
+_COLUMNS = ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+_EMPTY = pa.schema([(n, pa.float64() if "score" in n else pa.int64()) for n in _COLUMNS]).empty_table()
+
+
+def _scorer(tokens: int, distinct: int, mu: tuple[float, ...]):
+    order = len(mu) + 1
+
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         out = []
         for row in blocks.to_pylist():
-            block = Block(row)
-            totals = {"w": [], "p": []}
-            for r in sorted(answers.select(["reducer", "kind", "totals"]).to_pylist(), key=lambda r: r["reducer"]):
-                totals[r["kind"]].append(_unpack(r["totals"], np.int64))
-            words, pairs = (np.concatenate(totals[k]) for k in "wp")
-            automaton = Automaton(words, pairs, tokens, distinct, mu)
-            start = np.cumsum(block.sizes) - block.sizes
-            known = np.add.reduceat((words[block.current] > 0).astype(np.int64), start)
-            base = np.add.reduceat(automaton.root[block.current], start)
-            score = np.add.reduceat(automaton.run(block), start)
+            block = Block(row, order)
+            totals: list[list[np.ndarray]] = [[] for _ in range(order)]
+            for r in sorted(answers.select(["reducer", "n", "totals"]).to_pylist(), key=lambda r: r["reducer"]):
+                totals[r["n"] - 1].append(_unpack(r["totals"], np.int64))
+            automaton = Automaton(block, [np.concatenate(t) if t else np.zeros(1, np.int64) for t in totals], tokens, distinct, mu)
+            token = block.place > 0
             columns = [
                 pa.array(block.ids, pa.int64()),
-                pa.array(block.sizes),
-                pa.array(known),
-                pa.array(np.full(len(start), tokens, np.int64)),
-                pa.array(base, pa.float64()),
-                pa.array(score, pa.float64()),
+                pa.array(block.sizes - 1),
+                pa.array(np.add.reduceat((automaton.known & token).astype(np.int64), block.first)),
+                pa.array(np.full(len(block.first), tokens, np.int64)),
+                pa.array(np.add.reduceat(np.where(token, automaton.arc[0], 0.0), block.first), pa.float64()),
+                pa.array(np.add.reduceat(automaton.run(), block.first), pa.float64()),
             ]
-            out.append(pa.Table.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]))
+            out.append(pa.Table.from_arrays(columns, list(_COLUMNS)))
         return pa.concat_tables(out) if out else _EMPTY
 
     return run
 
 
-_EMPTY = pa.schema([(n, pa.float64() if "score" in n else pa.int64()) for n in ("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")]).empty_table()
-
+def score_documents(docs: DataFrame, training: Column, mu: tuple[float, ...] = MU) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of docs; training is a Column of docs.
 
-def score_documents(docs: DataFrame, training: Column, mu: float = MU) -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row of docs; training is a Column of docs."""
+    mu holds one number for each length of context, so n-grams have up to one word more than it has numbers.
+    """
     text = docs["text"].cast("string").cast("binary")
     rows = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), training.alias("train"), text.alias("text"))
     schema = "block string, ids array<bigint>, train array<boolean>, sizes array<int>, tokens binary, hashes binary"
     blocks = written(rows.mapInArrow(_blocks, schema), "blocks")
     sizes = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n")).first()
     reducers = max(1, ceil((sizes["n"] or 0) / REDUCER_KEYS))
-    sent = blocks.mapInArrow(_sender(reducers), "reducer int, kind string, block string, keys binary, counts binary")
-    answers = "reducer int, kind string, block string, totals binary, tokens bigint, distinct bigint"
+    sent = blocks.mapInArrow(_sender(reducers, len(mu) + 1), "reducer int, n int, block string, keys binary, counts binary")
+    answers = "reducer int, n int, block string, totals binary, tokens bigint, distinct bigint"
     answers = written(sent.groupBy("reducer").applyInArrow(_reduce, answers), "answers")
-    n = answers.filter("kind = 'n'").agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v")).first()
-    own = answers.filter("kind <> 'n'").select("block", "reducer", "kind", "totals")
+    found = answers.filter("n = 0").agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v")).first()
+    own = answers.filter("n > 0").select("block", "reducer", "n", "totals")
     schema = "doc_id bigint, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return blocks.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_scorer(n["n"] or 0, n["v"] or 0, mu), schema)
+    return blocks.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_scorer(found["n"] or 0, found["v"] or 0, mu), schema)

@@ -314,37 +314,59 @@ def test_sentencepiece(spark, odd, empty):
     assert pieces.encode_documents(empty, path).count() == 0
 
 
-def test_language_model_against_counting(spark, odd, empty):
+def counted(data, trained, mu):
+    """Rows of the model by plain counting: a recursion over n-grams instead of an automaton."""
+    grams, cut = collections.Counter(), [(i, ["<s>", *(w.decode() for w in (t or "").encode().lower().split()), "</s>"]) for i, t in data]
+    for i, w in cut:
+        if trained(i):
+            grams.update(tuple(w[a:b]) for b in range(1, len(w) + 1) for a in range(max(0, b - len(mu) - 1), b))
+    words = {g: c for g, c in grams.items() if len(g) == 1 and g != ("<s>",)}
+    n, v = sum(words.values()), len(words)
+
+    def p(history, word):
+        if not history:
+            return (grams[word,] + 0.5) / (n + 0.5 * (v + 1))
+        m = mu[len(history) - 1]
+        return (grams[*history, word] + m * p(history[1:], word)) / (grams[history] + m)
+
+    for i, w in cut:
+        base = sum(math.log10(p((), x)) for x in w[1:])
+        score = sum(math.log10(p(tuple(w[max(0, k - len(mu)) : k]), w[k])) for k in range(1, len(w)))
+        yield i, len(w) - 1, sum(grams[x,] > 0 for x in w[1:]), n, round(base, 6), round(score, 6)
+
+
+def test_language_model_against_counting(spark, odd, empty, monkeypatch):
     random.seed(6)
     rows = [(i, " ".join(random.choice("A b c Dd e".split()) for _ in range(random.randint(0, 12)))) for i in range(120)]
-    for docs, data in ((spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), rows), (odd, ODD)):
-        trained = lambda i: i is None or zlib.crc32(str(i).encode()) % 5 != 1
-        one, two, starts = collections.Counter(), collections.Counter(), 0
-        cut = [(i, [w.decode() for w in (t or "").encode().lower().split()] + ["</s>"]) for i, t in data]
-        for i, w in cut:
-            if trained(i):
-                one.update(w)
-                two.update(zip(["<s>", *w], w, strict=False))
-                starts += 1
-        n, v, mu = sum(one.values()), len(one), lm.MU
-        base = lambda w: (one[w] + 0.5) / (n + 0.5 * (v + 1))
-        state = lambda h: starts if h == "<s>" else one[h]
-        want = collections.Counter()
-        for i, w in cut:
-            b = sum(math.log10(base(x)) for x in w)
-            s = sum(math.log10((two[h, x] + mu * base(x)) / (state(h) + mu)) for h, x in zip(["<s>", *w], w, strict=False))
-            want[i, len(w), sum(one[x] > 0 for x in w), n, round(b, 6), round(s, 6)] += 1
-        got = lm.score_documents(docs, ~held_out("doc_id", 5)).collect()
+    trained = lambda i: i is None or zlib.crc32(str(i).encode()) % 5 != 1
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for docs, data, mu in ((frame, rows, lm.MU), (frame, rows, ()), (frame, rows, (4.0,)), (frame, rows, (9.0, 3.0, 0.5, 0.1)), (odd, ODD, lm.MU)):
+        got = lm.score_documents(docs, ~held_out("doc_id", 5), mu).collect()
         rounded = collections.Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got)
-        assert rounded == want
+        assert rounded == collections.Counter(counted(data, trained, mu))
     assert lm.score_documents(empty, ~held_out("doc_id", 5)).count() == 0
     one_text = lm.score_documents(odd.filter("doc_id = 1"), F.lit(False)).first()
     assert one_text["n_known"] == 0 and one_text["score"] == 0.0
+    clash = odd.selectExpr("*", "1 AS train", "2 AS block", "3 AS ids", "4 AS n")
+    assert lm.score_documents(clash, ~held_out("doc_id", 5)).count() == len(ODD)
+
+
+def test_readers_agree():
+    """However many readers share a block, from one to one for each token, the weights are those of a single traversal."""
+    rng = np.random.default_rng(8)
+    sizes = rng.integers(0, 30, 40).tolist()
+    hashes = rng.integers(0, 2**63, 6, np.uint64)
+    row = {"ids": list(range(40)), "train": (rng.random(40) < 0.7).tolist(), "sizes": sizes, "tokens": lm._pack(rng.integers(0, 6, sum(sizes)).astype(np.int32)), "hashes": hashes.tobytes()}
+    block = lm.Block(row, 4)
+    totals = [block.counts(*g) for g in block.grams()]
+    automaton = lm.Automaton(block, totals, int(totals[0].sum()) - sum(row["train"]), 7, (5.0, 2.0, 1.0))
+    one = automaton.run(1)
+    assert all((automaton.run(k) == one).all() for k in (2, 7, 100, 5000)) and (one[block.first] == 0).all()
 
 
 def test_sorted_hashes_round_trip():
     rng = np.random.default_rng(7)
-    for keys in ([], [0], [1, 2, 2**40], [2**63, 2**63 + 5], sorted(rng.integers(0, 2**48, 5000).tolist())):
+    for keys in ([], [0], [2**64 - 1], [1, 2, 2**40], [0, 2**64 - 1], [2**63, 2**63 + 5], sorted(rng.integers(0, 2**48, 5000).tolist())):
         keys = np.array(keys, np.uint64)
         assert (lm._unpack_sorted(lm._pack_sorted(keys)) == keys).all()
 
