@@ -499,6 +499,53 @@ def test_neighbours_against_brute_force(spark):
     assert {i for i, s in got[100] if s == (d[100] * d[100]).sum()} <= set(range(101, 160))
 
 
+def recall_and_share(spark, x, **options):
+    df = vectors(spark, [(i, v.tolist(), 0, 0.0, "c") for i, v in enumerate(x)])
+    counter = spark.sparkContext.accumulator(0)
+    found = collections.defaultdict(set)
+    for r in ann.search(df, df["vec_id"] % 20 == 0, verified=counter, **options).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    hits, d = 0, x.astype(float)
+    for q in range(0, len(x), 20):
+        score = d @ d[q]
+        score[q] = -np.inf
+        hits += len(found[q] & set(np.argpartition(-score, 20)[:20].tolist()))
+    return hits / (20 * len(found)), counter.value / len(found) / len(x)
+
+
+def test_neighbours_verify_few_where_vectors_cluster(spark):
+    rng = np.random.default_rng(14)
+    centres = rng.normal(size=(60, 64))
+    x = centres[rng.integers(0, 60, 9000)] + 0.35 * rng.normal(size=(9000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    recall, share = recall_and_share(spark, x)
+    assert recall >= 0.9 and share < 0.1
+    rows = (rng.normal(size=(9000, 10)) @ rng.normal(size=(10, 64)) + 0.1 * rng.normal(size=(9000, 64))).astype(np.float32)
+    recall, share = recall_and_share(spark, rows / np.linalg.norm(rows, axis=1, keepdims=True))
+    assert recall >= 0.9 and share < 0.1
+    recall, share = recall_and_share(spark, rows)  # norms that differ leave less between near and far
+    assert recall >= 0.9 and share < 0.3
+
+
+def test_neighbours_without_structure(spark):
+    """Of random directions in 64 dimensions the 20th neighbour lies hardly nearer than the rest: many must be verified."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").toPandas()
+    recall, share = recall_and_share(spark, np.stack(table["embedding"]))
+    assert recall >= 0.9 and share < 0.6
+
+
+def test_neighbours_of_one_huge_vector_and_other_lengths(spark):
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(400, 8))
+    x[7] *= 1e6
+    assert recall_and_share(spark, x.astype(np.float32))[0] >= 0.9
+    rows = [(i, v.tolist(), 0, 0.0, "") for i, v in enumerate(x[:30])] + [(100 + i, v[:3].tolist(), 0, 0.0, "") for i, v in enumerate(x[:25])]
+    got = collections.defaultdict(list)
+    for r in ann.search(vectors(spark, rows), F.col("vec_id") % 20 == 0, k=5).collect():
+        got[r["query_id"]].append(r["vec_id"])
+    assert {q: len(v) for q, v in got.items()} == {0: 5, 20: 5, 100: 5, 120: 5} and all(i >= 100 for i in got[100] + got[120])
+
+
 def test_neighbours_of_few_and_none(spark):
     df = vectors(spark, [(0, [1.0, 0.0], 0, 0.0, ""), (1, [1.0, 0.0], 0, 0.0, ""), (20, [0.5, 1.0], 0, 0.0, ""), (20, [0.5, 1.0], 0, 0.0, "")])
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.search(df, df["vec_id"] % 20 == 0).orderBy("query_id", "rank").collect()]
