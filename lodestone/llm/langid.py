@@ -7,17 +7,20 @@ each switch, labels spans; the language that holds most letters of a document is
 letters is the score.
 
 The path is exact for documents of any length and runs in numpy: words are cut into blocks, each block's best scores
-from every state to every state are found for all blocks at once, then blocks are chained, then opened again.
+from every state to every state are found for all blocks at once, then blocks are chained, then opened again. Very long
+texts go through it in segments that end between words, forwards with the states' values, then backwards.
 
 Fitting reads at most PER_LANGUAGE labelled documents of each language, chosen by a hash of the id.
 
 Results for odd input: null texts and texts without a letter are und with score 0; letters of scripts that no learned
 language uses count for none, and a text with only such letters gets the commonest learned language with score 0;
-equal shares go to the language that sorts first; with no labelled document at all every result is und.
+equal shares go to the language that sorts first; with no labelled document at all every result is und; an id that
+labelled rows repeat counts once for each language; columns of any name are carried along.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -54,6 +57,7 @@ SCRIPTS = (
     (0xAC00, 0xD7AF),  # Hangul
 )
 NEVER = np.float32(-60.0)
+_NO_LETTER = re.compile(r"\W|\d|_")
 
 
 @lru_cache(1)
@@ -117,10 +121,13 @@ class Model:
         return out
 
 
-def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
-    """The best state of every word. scores: words by states; sizes: words of each sequence, none of them 0.
+def viterbi(
+    scores: np.ndarray, sizes: np.ndarray, penalty: float = PENALTY, value: np.ndarray | None = None, end: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best state of every word; each sequence's values at its end; and the state before its first word.
 
-    Ties stay in the state they are in, else go to the first state.
+    scores: words by states; sizes: words of each sequence, none of them 0. Ties stay in the state they are in, else go
+    to the first state. For a sequence that goes on, value holds its states' values so far, and end its last state.
     """
     states = scores.shape[1]
     blocks = -(-sizes // BLOCK)
@@ -137,7 +144,7 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float = PENALTY) ->
         best = through.max(axis=2, keepdims=True) - penalty
         np.maximum(through, best, out=through)
         through += s[:, t, None, :]
-    value = np.zeros((len(sizes), states), np.float32)
+    value = np.zeros((len(sizes), states), np.float32) if value is None else value.astype(np.float32)
     came = np.zeros((len(s), states), np.int32)
     order = np.argsort(-blocks, kind="stable")
     counts = blocks[order]
@@ -147,90 +154,135 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float = PENALTY) ->
         came[first[who] + k] = total.argmax(axis=1)
         value[who] = total.max(axis=1)
         value[who] -= value[who].max(axis=1, keepdims=True)  # differences decide; keeps float32 exact enough
-    end = np.zeros(len(s), np.int32)
+    last = np.zeros(len(s), np.int32)
     before = np.zeros(len(s), np.int32)
-    state = value.argmax(axis=1).astype(np.int32)
+    state = (value.argmax(axis=1) if end is None else end).astype(np.int32)
     for k in range(int(counts[0]) - 1 if len(counts) else -1, -1, -1):
         who = order[: np.searchsorted(-counts, -k, "left")]
         b = first[who] + k
-        end[b] = state[who]
+        last[b] = state[who]
         before[b] = state[who] = came[b, state[who]]
     rows = np.arange(len(s))
-    value = s[:, 0] - switch[before]
+    through = s[:, 0] - switch[before]
     back = np.zeros((BLOCK, len(s), states), np.int8 if states < 128 else np.int32)
     own = np.arange(states)
     for t in range(1, BLOCK):
-        best = value.argmax(axis=1)
-        top = value[rows, best][:, None] - penalty
-        stay = value >= top
+        best = through.argmax(axis=1)
+        top = through[rows, best][:, None] - penalty
+        stay = through >= top
         back[t] = np.where(stay, own, best[:, None])
-        value = np.maximum(value, top) + s[:, t]
+        through = np.maximum(through, top) + s[:, t]
     path = np.zeros((len(s), BLOCK), np.int32)
-    path[:, -1] = end
+    path[:, -1] = last
     for t in range(BLOCK - 1, 0, -1):
         path[:, t - 1] = back[t][rows, path[:, t]]
-    return path.reshape(-1)[place]
+    return path.reshape(-1)[place], value, state
 
 
-def _segments(text: str) -> list[str]:
-    """A long text in stretches of about BUDGET characters that end between words where there is a blank to end at."""
+def _segments(text: str, budget: int) -> list[str]:
+    """A long text in stretches of about budget characters that end where a character is no letter, so between words."""
     out = []
-    while len(text) > 2 * BUDGET:
-        cut = text.rfind(" ", BUDGET, 2 * BUDGET)
-        cut = cut if cut > 0 else 2 * BUDGET
-        out.append(text[:cut])
-        text = text[cut:]
+    while len(text) > 2 * budget:
+        cut = _NO_LETTER.search(text, budget)
+        if not cut:
+            break
+        out.append(text[: cut.start()])
+        text = text[cut.start() :]
     return [*out, text]
 
 
+@dataclass
+class Labels:
+    """Language states of the words of one text, its letters by state, and all its letters."""
+
+    path: np.ndarray
+    share: np.ndarray
+    letters: int
+
+
+def _together(model: Model, texts: list[str]) -> list[Labels]:
+    """Labels of texts that are held at once."""
+    w = words_of(texts)
+    counts = np.bincount(w.text, minlength=len(texts))
+    path = viterbi(model.scores(w), counts[counts > 0])[0] if len(w.start) else np.zeros(0, np.int32)
+    return _shares(model, w, path, len(texts))
+
+
+def _shares(model: Model, w: Words, path: np.ndarray, n_texts: int) -> list[Labels]:
+    n = len(model.languages)
+    counted = w.letters * model.allowed.any(axis=1)[w.script]
+    share = np.bincount(w.text * n + path, counted, n_texts * n).reshape(-1, n)
+    letters = np.bincount(w.text, w.letters, n_texts)
+    paths = np.split(path, np.cumsum(np.bincount(w.text, minlength=n_texts))[:-1])
+    return [Labels(p, s, int(k)) for p, s, k in zip(paths, share, letters, strict=True)]
+
+
+def _in_turn(model: Model, segments: list[str]) -> Labels:
+    """Labels of a text too long to be held: values are carried forwards through its segments, then states backwards."""
+    values, value = [], None
+    for segment in segments:
+        values.append(value)
+        w = words_of([segment])
+        if len(w.start):
+            value = viterbi(model.scores(w), np.array([len(w.start)]), value=value)[1]
+    end, found = None, []
+    for segment, value in zip(reversed(segments), reversed(values), strict=True):
+        w = words_of([segment])
+        if len(w.start):
+            path, _, end = viterbi(model.scores(w), np.array([len(w.start)]), value=value, end=end)
+            found.append(_shares(model, w, path, 1)[0])
+    if not found:
+        return Labels(np.zeros(0, np.int32), np.zeros(len(model.languages)), 0)
+    return Labels(np.concatenate([f.path.astype(np.int16) for f in reversed(found)]), sum(f.share for f in found), sum(f.letters for f in found))
+
+
+def budget(model: Model) -> int:
+    """Characters scored at once; fewer with many languages, as a path's tables grow with their square."""
+    return max(20_000, BUDGET * 64 // max(64, len(model.languages) ** 2))
+
+
 def label(model: Model, texts: list[str | None]) -> list[tuple[str, float, list[tuple[str, int, int]]]]:
     """For each text its language, score and spans: (language, first word, words) of each run in one language."""
-    und = ("und", 0.0, [])
-    segments = [(i, s) for i, t in enumerate(texts) if t for s in _segments(t)]
-    owners, letters, scripts, scores = [], [], [], []
-    for a, b in pieces_of([s for _, s in segments], BUDGET):
-        w = words_of([s for _, s in segments[a:b]])
-        owners.append(np.array([i for i, _ in segments[a:b]], np.int64)[w.text])
-        letters.append(w.letters)
-        scripts.append(w.script)
-        scores.append(model.scores(w))
-    if not owners or not model.languages:
-        return [und] * len(texts)
-    owner, letters, script, scores = map(np.concatenate, (owners, letters, scripts, scores))
-    n = len(model.languages)
-    counts = np.bincount(owner, minlength=len(texts))
-    path = viterbi(scores, counts[counts > 0])
-    counted = letters * model.allowed.any(axis=1)[script]
-    share = np.bincount(owner * n + path, counted, len(texts) * n).reshape(-1, n)
-    total = np.bincount(owner, letters, len(texts))
+    if not model.languages:
+        return [("und", 0.0, [])] * len(texts)
+    most, found = budget(model), []
+    for a, b in pieces_of(texts, most):
+        if b == a + 1 and len(segments := _segments(texts[a] or "", most)) > 1:
+            found.append(_in_turn(model, segments))
+        else:
+            found += _together(model, [t or "" for t in texts[a:b]])
     out = []
-    stop = np.cumsum(counts)
-    turn = np.flatnonzero(np.r_[True, (np.diff(path) != 0) | (np.diff(owner) != 0)]) if len(path) else np.zeros(0, np.int64)
-    edge = np.r_[turn, len(path)]
-    at = np.searchsorted(turn, np.r_[0, stop])
-    for i in range(len(texts)):
-        if not counts[i]:
-            out.append(und)
+    for x in found:
+        if not x.letters:
+            out.append(("und", 0.0, []))
             continue
-        best = int(share[i].argmax()) if share[i].any() else model.commonest
-        base = stop[i] - counts[i]
-        spans = [(model.languages[path[edge[k]]], int(edge[k] - base), int(edge[k + 1] - edge[k])) for k in range(at[i], at[i + 1])]
-        out.append((model.languages[best], float(share[i, best] / total[i]), spans))
+        best = int(x.share.argmax()) if x.share.any() else model.commonest
+        turn = np.flatnonzero(np.r_[True, np.diff(x.path) != 0])
+        spans = [(model.languages[x.path[i]], int(i), int(n)) for i, n in zip(turn, np.diff(np.r_[turn, len(x.path)]), strict=True)]
+        out.append((model.languages[best], float(x.share[best] / x.letters), spans))
     return out
 
 
 def fit(docs: DataFrame, training, per_language: int = PER_LANGUAGE) -> Model:
-    """Counts n-grams of labelled documents: those where training, a Column of docs, holds and lang is not null."""
-    named = docs.filter(training & docs["lang"].isNotNull() & docs["text"].isNotNull())
-    ids = named.select(docs["doc_id"].alias("doc_id"), docs["lang"].cast("string").alias("lang")).distinct()
-    # At most per_language ids of each language: bounded by the number of languages.
-    chosen = F.broadcast(hash_sample(ids, "doc_id", per_language, per="lang").select(F.col("doc_id").alias("_i"), F.col("lang").alias("_l")))
-    text = docs["text"].cast("string").alias("text")
-    rows = named.join(chosen, docs["doc_id"].eqNullSafe(F.col("_i")) & (docs["lang"].cast("string") == F.col("_l"))).select(F.col("_l").alias("lang"), text)
+    """Counts n-grams of labelled documents: those where training, a Column of docs, holds and lang is not null.
+
+    The rows of a language whose id hashes least are taken; a hash below a threshold, which twice per_language of its
+    rows should pass, thins out each language before rows are ranked, so no language gathers in one task.
+    """
+    text = docs["text"].cast("string")
+    named = docs.filter(training & docs["lang"].isNotNull() & text.isNotNull())
+    named = named.select(docs["doc_id"].alias("id"), docs["lang"].cast("string").alias("lang"), F.struct(F.xxhash64(text), text.alias("text")).alias("t"))
+    sizes = F.broadcast(named.groupBy("lang").agg((F.approx_count_distinct("id") + 1).alias("n")))  # a row for each language
+    spread = (F.shiftrightunsigned(F.xxhash64(F.lit(7), F.col("id")), 11) / F.lit(2.0**53)) * F.col("n")
+    ids = named.select("id", "lang").join(sizes, "lang").filter(spread <= 2 * per_language).select("id", "lang").distinct()
+    # At most per_language ids of each language.
+    chosen = F.broadcast(hash_sample(ids, "id", per_language, per="lang").select(F.col("id").alias("i"), F.col("lang").alias("l")))
+    rows = named.join(chosen, F.col("id").eqNullSafe(F.col("i")) & (F.col("lang") == F.col("l")))
+    rows = rows.groupBy("i", "l").agg(F.min("t").alias("t")).select(F.col("l").alias("lang"), F.col("t.text").alias("text"))  # repeated ids count once
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         languages, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
-        found = [(languages[i], s) for i, t in enumerate(texts) for s in _segments(t)]
+        found = [(languages[i], s) for i, t in enumerate(texts) for s in _segments(t, BUDGET)]
         out: list[tuple[str, int, int, int]] = []
         for lang in sorted({x for x, _ in found}):
             own = [s for x, s in found if x == lang]
@@ -271,7 +323,7 @@ def identify(docs: DataFrame, model: Model, with_spans: bool = False) -> DataFra
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
-        found = [x for a, b in pieces_of(texts, BUDGET) for x in label(shared.value, texts[a:b])]
+        found = label(shared.value, texts)
         columns = [
             batch.column("doc_id"),
             pa.array([x[0] for x in found], pa.string()),
@@ -293,7 +345,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
     def run(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            found = [x for a, b in pieces_of(texts, BUDGET) for x in label(shared.value, texts[a:b])]
+            found = label(shared.value, texts)
             yield batch.filter(pa.array([x[0] != "und" and x[1] >= least for x in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from ..operators.components import connected_components
 from ..operators.durable import written
@@ -197,19 +198,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs without near-duplicates: of each component one row, that of the least doc_id, stays whole.
 
-    Rows are told apart by doc_id and text; of rows that agree in both, any one stays.
+    Rows are told apart by doc_id and text; of rows that agree in both, the one whose other columns hash least stays.
     """
-    names = docs.columns
     rows = written(fingerprints(docs), "documents")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     chosen = components(rows).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone"))
-    chosen = chosen.agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("_near_id"), F.col("o.text_hash").alias("_near_hash"))
-    copies = rows.groupBy(F.col("doc_id").alias("_near_id2"), F.col("text_hash").alias("_near_hash2")).agg(F.count("*").alias("_near_copies"))
-    same = F.col("_near_id").eqNullSafe(F.col("_near_id2")) & (F.col("_near_hash") == F.col("_near_hash2"))
-    chosen = written(chosen.join(copies, same).select("_near_id", "_near_hash", "_near_copies"), "chosen")
-    text_hash = F.xxhash64(docs["text"].cast("string"))
-    mine = docs["doc_id"].cast("bigint").eqNullSafe(F.col("_near_id")) & (text_hash == F.col("_near_hash"))
-    kept = docs.join(chosen, mine)
-    single = kept.filter("_near_copies = 1").select(*(docs[n] for n in names))
-    several = kept.filter("_near_copies > 1").select(*(docs[n] for n in names), "_near_id", "_near_hash").dropDuplicates(["_near_id", "_near_hash"])
-    return single.union(several.select(*(F.col(f"`{n}`") for n in names)))
+    chosen = chosen.agg(F.min(order).alias("o")).select("o.doc_id", "o.text_hash")
+    copies = rows.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.count("*").alias("copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
+    chosen = written(chosen.join(copies, same).select("id", "hash", "copies"), "chosen")
+    names = [f"`{f.name}`" for f in docs.schema.fields if not isinstance(f.dataType, MapType | VariantType)]
+    full = docs.select(
+        F.struct(*(docs[f"`{n}`"] for n in docs.columns)).alias("row"),
+        docs["doc_id"].cast("bigint").alias("doc_id"),
+        F.xxhash64(docs["text"].cast("string")).alias("text_hash"),
+        F.xxhash64(*(docs[n] for n in names)).alias("rest"),
+    )
+    kept = full.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
+    several = kept.filter("copies > 1").groupBy("id", "hash").agg(F.min_by("row", "rest").alias("row"))
+    return kept.filter("copies = 1").select("row").union(several.select("row")).select("row.*")

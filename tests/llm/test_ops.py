@@ -394,6 +394,26 @@ def test_rules_against_counting(spark, odd, empty):
     assert rules.keep_documents(odd).columns == odd.columns
 
 
+def test_words_of_long_texts(monkeypatch):
+    random.seed(18)
+    text = " ".join(random.choice(["a", "bb", "é" * 9, "d\n", "\t"]) for _ in range(3_000)).encode()
+    whole = rules.word_numbers(text).tolist()
+    names = list(dict.fromkeys(text.split()))
+    assert [names[i] for i in whole] == text.split()
+    monkeypatch.setattr(rules, "STRETCH", 7)
+    assert rules.word_numbers(text).tolist() == whole and rules.word_numbers(b"x" * 50).tolist() == [0]
+
+
+def test_bands_are_fitted():
+    """Clean texts keep to the bands; the bands that other clean texts give are not far off."""
+    random.seed(19)
+    words = ["".join(random.choice("aeioulnrst") for _ in range(random.randint(1, 9))) for _ in range(900)]
+    texts = [" ".join(random.choice(words) for _ in range(n)) for n in (50, 60, 100, 150, 300, 450, 900, 1500, 4000) * 30]
+    for (top, low, high), (top2, low2, high2) in zip(rules.BANDS, rules.fit_bands(texts), strict=True):
+        assert top == top2 and low2 < high and low < high2
+    assert rules.fit_bands([]) == [(t, round(a, 2), round(b, 2)) for t, a, b in rules.BANDS]
+
+
 def test_url_rules(spark):
     rows = [
         ("https://a.EXAMPLE.com/en/7x?q#f", "a.example.com", "/en/7x", "example.com/en/7", "allow"),
@@ -450,6 +470,26 @@ def test_language_spans(spark, odd, empty):
     nothing = langid.fit(empty, ~held_out("doc_id", 3))
     assert pairs(langid.identify(odd, nothing), "lang_pred") == {("und",): len(ODD)}
     assert langid.keep_identified(odd, model).columns == odd.columns
+    clash = docs.selectExpr("*", "1 AS _i", "2 AS _l", "3 AS id", "4 AS n", "5 AS t")
+    again = langid.fit(clash.union(clash).repartition(5), ~held_out("doc_id", 3))  # repeated rows change nothing
+    assert all((x == y).all() for x, y in zip(model.tables, again.tables, strict=True))
+
+
+def test_language_of_a_long_text_in_segments(spark, monkeypatch):
+    random.seed(10)
+    parts = (["the", "ing", "sh"], ["ung", "sch", "ei"])
+    make = lambda p, n, gap: gap.join("".join(random.choice(p) for _ in range(random.randint(1, 3))) for _ in range(n))
+    docs = spark.createDataFrame([(i, make(parts[i % 2], 60, " "), "ab"[i % 2]) for i in range(60)], "doc_id bigint, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    for gap in (" ", "\n", "7"):
+        text = gap.join(make(parts[k % 2], random.choice((3, 40, 200)), gap) for k in range(30))
+        whole = langid.label(model, [text])
+        assert len(whole[0][2]) > 5
+        monkeypatch.setattr(langid, "budget", lambda _: 300)
+        assert len(langid._segments(text, 300)) > 10 and all(x[-1:].isalpha() and not y[:1].isalpha() for x, y in zip(langid._segments(text, 300), langid._segments(text, 300)[1:], strict=False))
+        assert langid.label(model, [text, None, "x"])[0] == whole[0]
+        monkeypatch.undo()
+    assert langid._segments("x" * 1000, 100) == ["x" * 1000] and langid.label(model, ["слово" * 1000])[0][1] in (0.0, 1.0)
 
 
 def test_viterbi_against_plain():
@@ -458,7 +498,7 @@ def test_viterbi_against_plain():
         sizes = rng.integers(1, 150, rng.integers(1, 6))
         states = int(rng.integers(1, 5))
         s = (rng.normal(size=(sizes.sum(), states)) * 4).astype(np.float32)
-        path, at = langid.viterbi(s, sizes, 6.0), 0
+        path, at = langid.viterbi(s, sizes, 6.0)[0], 0
         for n in sizes:
             own, p = s[at : at + n].astype(float), path[at : at + n]
             v = own[0].copy()
@@ -633,3 +673,8 @@ def test_keep_one(spark, odd, empty):
     assert kept.columns == odd.columns
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 5, 8, 9]
     assert simhash.keep_one(empty).count() == 0
+    clash = odd.selectExpr("*", "1 AS _near_id", "2 AS id", "3 AS row", "4 AS rest", "5 AS component_id", "map(doc_id, 1) AS m").filter("doc_id is not null")
+    kept = simhash.keep_one(clash)
+    assert kept.columns == clash.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 5, 8, 9]
+    twice = spark.createDataFrame([(1, "same text", k) for k in range(9)], "doc_id bigint, text string, other int")
+    assert simhash.keep_one(twice).collect() == simhash.keep_one(twice.repartition(5).orderBy(F.desc("other"))).collect()
