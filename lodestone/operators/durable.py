@@ -9,26 +9,38 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only where that is unset, as in local tests, a folder of this machine."""
+    """The application's folder in spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a folder of this machine; on a cluster, whose machines share none, that
+    raises.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return f"{folder.rstrip('/')}/lodestone-{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """df, computed now and read back from Parquet in the shared folder. A lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path) -> None:
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_written(df: DataFrame) -> None:
     """Deletes the files of a table made by written() that nothing needs any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        _delete(df.sparkSession, df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent())
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application has written; call it when no result that was built on them is needed."""
+    _delete(spark, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark)))
