@@ -10,13 +10,14 @@ to right: at each word the state fails until it has the arc, takes it, and adds
 Counts come from all training texts, whatever their number. No machine holds the whole model:
 
 1. Texts become blocks of word numbers with each block's own list of distinct words (a written table).
-2. Each block sends its distinct n-grams, as sorted hashes with its own training counts, to the reducer that owns their
-   hash range. A hot n-gram is one entry of a block at most, so ranges stay even.
+2. Each block sends its distinct n-grams with its own training counts to the reducer that owns their hash range: words
+   and word pairs as sorted hashes, longer ones as a trie below the pairs. A hot n-gram is one entry of a block at most,
+   so ranges stay even.
 3. A reducer adds up the counts and answers every block with the totals of just what it sent.
 4. A block builds its slice of the automaton from the answers, and many readers traverse it at once, each a stretch of
    the block's texts, from ORDER - 1 words before the stretch, which bring a reader into the right state.
 
-Words and n-grams are told apart by 64-bit hashes.
+Words and pairs are told apart by 64-bit hashes, longer n-grams by their pair and 32 bits of each further word.
 
 Results for odd input: null and empty texts are the end token alone; with no training text every word is unknown and
 the one class has probability one; repeated rows score, and count, each; a null doc_id is in training.
@@ -24,7 +25,9 @@ the one class has probability one; repeated rows score, and count, each; a null
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import lru_cache
 from math import ceil
 
 import numpy as np
@@ -41,6 +44,7 @@ from ..operators.durable import written
 MU = (300.0, 10.0)
 #: Tokens of a block, and hashes of one order that a reducer holds, about; and readers of a block at once.
 BLOCK_TOKENS, REDUCER_KEYS, READERS = 1_500_000, 1_000_000, 4_096
+_32, _LOW = np.uint64(32), np.uint64(0xFFFFFFFF)
 START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -53,17 +57,31 @@ def _unpack(raw: bytes, kind) -> np.ndarray:
 
 
 def _pack_sorted(keys: np.ndarray) -> bytes:
-    """Ascending hashes: the first one, then the steps between them in as few bytes each as the widest needs."""
+    """Ascending hashes: their number, the first one, then the steps between them, their widest bytes compressed."""
     steps = np.diff(keys)
     width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
-    return bytes([width]) + keys[:1].tobytes() + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    planes = steps.view(np.uint8).reshape(-1, 8)
+    head = np.array([width, len(keys)], np.uint32).tobytes() + keys[:1].tobytes()
+    return head + np.ascontiguousarray(planes[:, : width - 1]).tobytes() + _pack(planes[:, width - 1])
 
 
 def _unpack_sorted(raw: bytes) -> np.ndarray:
-    first = np.frombuffer(raw[1:9], np.uint64)
-    steps = np.zeros(((len(raw) - 9) // raw[0] if len(first) else 0, 8), np.uint8)
-    steps[:, : raw[0]] = np.frombuffer(raw[9:], np.uint8).reshape(-1, raw[0])
-    return np.cumsum(np.r_[first, steps.view(np.uint64).reshape(-1)], dtype=np.uint64)
+    width, n = np.frombuffer(raw[:8], np.uint32).tolist()
+    if not n:
+        return np.zeros(0, np.uint64)
+    planes, end = np.zeros((n - 1, 8), np.uint8), 16 + (n - 1) * (width - 1)
+    planes[:, : width - 1] = np.frombuffer(raw[16:end], np.uint8).reshape(n - 1, width - 1)
+    planes[:, width - 1] = _unpack(raw[end:], np.uint8)
+    return np.cumsum(np.r_[np.frombuffer(raw[8:16], np.uint64), planes.view(np.uint64).reshape(-1)], dtype=np.uint64)
+
+
+@lru_cache(1)
+def steady() -> None:
+    """Has the C library give large arrays back to the system when they are freed, which it otherwise keeps in pieces."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -77,6 +95,7 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts to blocks: ids, training flags, token counts, word numbers and the hashes of the words."""
+    steady()
     task, number = TaskContext.get().partitionId(), 0
 
     def empty():
@@ -138,15 +157,18 @@ class Block:
         self.learned = np.repeat(self.train, self.sizes)
 
     def grams(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each order the distinct hashes, ascending, and the number of the n-gram that ends at each token, or -1."""
+        """For each order the distinct n-grams, ascending, and the number of the one that ends at each token, or -1.
+
+        Words and pairs are hashes; a longer n-gram is the number of what stands before its last word, and 32 bits of
+        that word's hash.
+        """
         yield self.words, self.word
-        last = self.words[self.word]
-        hashes = last
+        last, number = self.words[self.word], self.word
         for k in range(1, self.order):
-            hashes = np.r_[hashes[:1], _mix(hashes[:-1], last[1:])]
             at = np.flatnonzero(self.place >= k)
-            distinct, inverse = np.unique(hashes[at], return_inverse=True)
-            number = np.full(len(hashes), -1, np.int32)
+            keys = _mix(last[at - 1], last[at]) if k == 1 else number[at - 1].astype(np.uint64) << _32 | last[at] & _LOW
+            distinct, inverse = np.unique(keys, return_inverse=True)
+            number = np.full(len(last), -1, np.int32)
             number[at] = inverse
             yield distinct, number
 
@@ -166,16 +188,27 @@ def _sender(reducers: int, order: int):
     types = [pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady()
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
                 block = Block(row, order)
+                parents = None
                 for n, (keys, number) in enumerate(block.grams(), 1):
-                    counts, cuts, out = block.counts(keys, number).astype(np.uint32), _ranges(keys, reducers), []
+                    counts, out = block.counts(keys, number).astype(np.uint32), []
+                    # a reducer that owns a pair owns all longer n-grams that begin with it
+                    cuts = _ranges(keys, reducers) if n < 3 else np.searchsorted(keys, parents.astype(np.uint64) << _32)
+                    children = np.bincount((keys >> _32).astype(np.int64), minlength=int(parents[-1])).astype(np.uint32) if n > 2 else None
                     for r in range(reducers):
                         a, b = cuts[r], cuts[r + 1]
+                        if n < 3:
+                            sent = _pack_sorted(keys[a:b])
+                        else:
+                            below = _pack(children[parents[r] : parents[r + 1]])
+                            sent = np.uint32(len(below)).tobytes() + below + (keys[a:b] & _LOW).astype(np.uint32).tobytes()
                         if a < b:
-                            out.append((r, n, row["block"], _pack_sorted(keys[a:b]), _pack(counts[a:b])))
+                            out.append((r, n, row["block"], sent, _pack(counts[a:b])))
+                    parents = cuts
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
@@ -184,19 +217,27 @@ def _sender(reducers: int, order: int):
 
 def _reduce(sent: pa.Table) -> pa.Table:
     """Totals for each block of what it sent, and (without a block) the training tokens and distinct words seen here."""
+    steady()
     out = []
     reducer = sent.column("reducer")[0].as_py()
     orders = sent.column("n").to_numpy()
+    above: dict[str, np.ndarray] = {}  # by block, the numbers of its n-grams of the order before
     for n in np.unique(orders).tolist():
         rows = sent.take(np.flatnonzero(orders == n)).select(["block", "keys", "counts"]).to_pylist()
-        keys = [_unpack_sorted(r["keys"]) for r in rows]
+        if n < 3:
+            keys = [_unpack_sorted(r["keys"]) for r in rows]
+        else:
+            keys = []
+            for r in rows:
+                size = 4 + int(np.frombuffer(r["keys"][:4], np.uint32)[0])
+                before = np.repeat(above[r["block"]], _unpack(r["keys"][4:size], np.uint32))
+                keys.append(before.astype(np.uint64) << _32 | np.frombuffer(r["keys"][size:], np.uint32))
         distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(inverse, np.concatenate([_unpack(r["counts"], np.uint32) for r in rows]), len(distinct)).astype(np.int64)
-        at = 0
-        for r, k in zip(rows, keys, strict=True):
-            answer = total[inverse[at : at + len(k)]]
-            at += len(k)
-            out.append((reducer, n, r["block"], _pack(answer), 0, 0))
+        stop, above = np.cumsum([len(k) for k in keys]), {}
+        for r, own in zip(rows, np.split(inverse, stop[:-1]), strict=True):
+            above[r["block"]] = own
+            out.append((reducer, n, r["block"], _pack(total[own]), 0, 0))
         if n == 1:
             real = total[distinct != START]
             out.append((reducer, 0, "", b"", int(real.sum()), int((real > 0).sum())))
@@ -231,8 +272,8 @@ class Automaton:
                 context = np.r_[0, before[:-1]]
                 self.has_arc[k] = seen > 0
                 probability = np.where(seen > 0, (seen + mu[k - 1] * probability) / (context + mu[k - 1]), probability)
-                self.arc[k] = np.log10(probability)
-                self.fail[k] = np.log10(mu[k - 1] / (context + mu[k - 1]))
+                np.log10(probability, out=self.arc[k])
+                np.log10(mu[k - 1] / (context + mu[k - 1]), out=self.fail[k])
             if k + 1 < block.order:
                 self.is_state[k + 1] = seen > 0
             before = seen
@@ -274,6 +315,7 @@ def _scorer(tokens: int, distinct: int, mu: tuple[float, ...]):
     order = len(mu) + 1
 
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        steady()
         out = []
         for row in blocks.to_pylist():
             block = Block(row, order)
