@@ -49,11 +49,13 @@ START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _pack(values: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(values).tobytes(), 1)
+    """Compressed, all first bytes of the numbers together, then all second ones, and so on."""
+    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T).tobytes(), 1)
 
 
 def _unpack(raw: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(raw), kind)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
 def _pack_sorted(keys: np.ndarray) -> bytes:
