@@ -137,10 +137,16 @@ def test_semantic_cache_against_all_pairs(spark):
     assert got == want and want
 
 
-def test_headers():
+def test_headers(spark):
     rows = [["Region", "Revenue", "Revenue", "Ops"], [None, "(INR Cr)", "growthPct", "Head"], ["IN", "12", "3%", "4"]]
-    names, units, data = tables.header_names(rows)
-    assert names == ["region", "revenue", "revenue_growth_pct", "ops_head"] and units == {"revenue": "INR Cr"} and data == rows[2:]
+    more = [["Total sales", "x", "x", None], ["sales", "", "", ""], ["1", "2", "3", "4"]]
+    cells = [(t, 5 + i, j, v) for t, grid in (("a", rows), ("b", more), ("c", [["7", "8"]])) for i, r in enumerate(grid) for j, v in enumerate(r)]
+    df = spark.createDataFrame(cells, "t string, row int, column int, value string")
+    named = {(r["t"], r["column"]): (r["name"], r["unit"]) for r in tables.header_names(df, "t").collect()}
+    assert [named["a", j] for j in range(4)] == [("region", None), ("revenue", "INR Cr"), ("revenue_growth_pct", None), ("ops_head", None)]
+    assert [named["b", j][0] for j in range(4)] == ["total_sales_sales", "x", "x_1", "col_3"] and [named["c", j][0] for j in range(2)] == ["7", "8"]
+    got = {(r["row"], r["name"]): r["value"] for r in tables.table_records(df.filter("t = 'a'"), "t").collect()}
+    assert got == {(0, "region"): "IN", (0, "revenue"): "12", (0, "revenue_growth_pct"): "3%", (0, "ops_head"): "4"}
 
 
 def test_service(spark, tmp_path):

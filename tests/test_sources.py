@@ -24,11 +24,13 @@ def as_files(spark, *raw):
 
 def test_delimited(spark):
     raw = b"\xef\xbb\xbfname;city\nRen\xe9;\"a;b\"\nx;y;z\nonly\n;\nTotal;9\n"
-    header, rows, report = files.read_delimited(raw)
-    assert header == ["name", "city"] and rows == [["René", "a;b"], ["x", "y"], ["only", None]]
-    assert report["ragged"] == [(1, 3), (2, 1)] and report["had_bom"] and report["encoding"] == "cp1252" and len(report["trailers"]) == 2
-    assert files.delimited_cells(as_files(spark, raw, b"")).count() == 6
-    assert files.delimited_report(as_files(spark, raw)).first()["n_rows_kept"] == 3
+    cells = [(r["row"], r["column"], r["value"]) for r in files.delimited_cells(as_files(spark, raw, b"")).orderBy("row", F.desc("column")).collect()]
+    assert cells == [(0, "name", "René"), (0, "city", "a;b"), (1, "name", "x"), (1, "city", "y"), (2, "name", "only"), (2, "city", None)]
+    report = files.delimited_report(as_files(spark, raw)).first()
+    assert report["ragged"] == ["1:3", "2:1"] and report["had_bom"] and report["encoding"] == "cp1252" and report["trailers"] == [";", "Total;9"]
+    assert (report["n_rows_raw"], report["n_rows_kept"], report["delimiter"]) == (5, 3, ";")
+    assert files.split_fields('a,"b ""c"", d"\r\n\r\n"x\ny",\n', ",") == [["a", 'b "c", d'], ["x\ny", ""]]
+    assert [files.sniff_delimiter(t) for t in ("a,b\n1,2", "a\tb\n1\t2", "a|b;c\n1|2", "plain", "")] == [",", "\t", "|", ",", ","]
 
 
 def test_json_lines(spark):
@@ -44,6 +46,15 @@ def test_logs(spark):
     assert (got[1]["exception_type"], got[1]["message"], got[1]["frames"], got[1]["lines"]) == ("ZeroDivisionError", "division by zero", 1, 4)
 
 
+def test_logs_with_chained_tracebacks(spark):
+    head, frame = "Traceback (most recent call last):", '  File "x.py", line 1, in f'
+    raw = "\n".join([head, frame, "", "    f()", "a.b.KeyError: 'k'", "  left over", head, frame, "no error here", '  {"b": 2}', "{bad"]).encode()
+    got = files.split_logs(as_files(spark, raw, b"", b"\xff\xfe")).filter("path = 'f0'").orderBy("lineno").collect()
+    assert [(r["kind"], r["lineno"], r["lines"], r["exception_type"], r["message"]) for r in got] == [
+        ("trace", 1, 4, "a.b.KeyError", "'k'"), ("text", 6, None, None, None), ("trace", 7, 2, None, None), ("text", 9, None, None, None), ("json", 10, None, None, None), ("text", 11, None, None, None),
+    ]
+
+
 def sheet():
     s = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     r = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
@@ -105,8 +116,10 @@ def mail(mid, parent=None, body="hi"):
 
 def test_mail(spark):
     body = "Thanks.\n> old\n-- \nMe\nThis is confidential\n"
-    parts = office.segment_reply(body)
-    assert parts["new"] == ["Thanks."] and parts["signature"] == ["Me"] and parts["disclaimer"] == ["This is confidential"] and parts["quoted"] == ["> old"]
+    df = spark.createDataFrame([("p", body), ("q", "> a\nOn Monday X wrote:\nb\n--\nc"), ("r", "-- \n-- \nd\nno liability\ne")], "path string, body string")
+    parts = [(r["path"], r["part"], r["line"]) for r in office.reply_parts(df).filter("line <> ''").orderBy("path", "lineno").collect()]
+    assert parts[:4] == [("p", "new", "Thanks."), ("p", "quoted", "> old"), ("p", "signature", "Me"), ("p", "disclaimer", "This is confidential")]
+    assert parts[4:] == [("q", "quoted", x) for x in ("> a", "On Monday X wrote:", "b", "--", "c")] + [("r", "signature", "-- "), ("r", "signature", "d"), ("r", "disclaimer", "no liability"), ("r", "disclaimer", "e")]
     mails = office.messages(as_files(spark, mail("t3", "t2"), mail("t1"), mail("t2", "t1"), mail("o", "gone")))
     got = {r["mid"]: (r["root"], r["depth"]) for r in office.threads(mails).collect()}
     assert got == {"<t1>": ("<t1>", 0), "<t2>": ("<t1>", 1), "<t3>": ("<t1>", 2), "<o>": ("<o>", 0)}
@@ -115,10 +128,38 @@ def test_mail(spark):
     m = EmailMessage()
     m.set_content("see zip")
     m.add_attachment(package({"in.eml": mail("x", body="inner")}), maintype="application", subtype="zip", filename="a.zip")
-    kinds = [(k, p) for p, k, _ in office.walk_mime(m.as_bytes())]
+    kinds = [(k, p) for p, k, _ in office.mime_rows(m.as_bytes())]
     assert kinds == [("text", "root"), ("container", "root/a.zip"), ("nested-email", "root/a.zip/in.eml"), ("text", "root/a.zip/in.eml")]
 
 
+def test_threads_of_any_length_and_cycles(spark):
+    rows = [(f"m{i}", f"m{i - 1}" if i else None) for i in range(130)] + [("c1", "c3"), ("c2", "c1"), ("c3", "c2"), ("hangs", "c1"), ("self", "self"), ("twice", "m5"), ("twice", "m5")]
+    got = [(r["mid"], r["root"], r["depth"]) for r in office.threads(spark.createDataFrame(rows, "mid string, parent string")).collect()]
+    assert {x for x in got if x[0].startswith("m")} == {(f"m{i}", "m0", i) for i in range(130)}
+    assert {x for x in got if x[0][0] in "chs"} == {(n, None, None) for n in ("c1", "c2", "c3", "hangs", "self")} and got.count(("twice", "m0", 6)) == 2
+
+
+def test_mime_limits(spark):
+    from email.message import EmailMessage
+
+    inner = mail("x", body="innermost")
+    for _ in range(9):
+        m = EmailMessage()
+        m.set_content("outer")
+        m.add_attachment(inner, maintype="application", subtype="octet-stream", filename="a.eml")
+        inner = m.as_bytes()
+    rows = list(office.mime_rows(inner))
+    assert rows[-1][1:] == ("container", "[depth limit]") and sum(k == "text" for _, k, _ in rows) == office.MAX_DEPTH + 1
+    m = EmailMessage()
+    m.set_content("hello")
+    m.add_attachment(b"PK broken", maintype="application", subtype="zip", filename="b.zip")
+    m.add_attachment(b"123", maintype="image", subtype="png", filename="i.png")
+    m.add_attachment(b"12", maintype="application", subtype="pdf", filename="c.pdf")
+    assert [(k, c) for _, k, c in office.mime_rows(m.as_bytes())] == [
+        ("text", "hello"), ("container", "zip opened (9 bytes)"), ("container", "[bad zip]"), ("image", "[pixels, 3 bytes] route to OCR"), ("other", "application/pdf (2 bytes)"),
+    ]
+
+
 def test_html():
     page = "<html><body><div class='row'><div>Plan</div><div>Seats</div></div><div class='row'><div>A</div><div>5</div></div><script id='__NEXT_DATA__'>{\"a\": 1}</script></body></html>"
     assert html.div_grid(page) == (["Plan", "Seats"], [["A", "5"]])
