@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .text import STOP_CACHE, let, squeeze
 
@@ -83,18 +88,34 @@ def verhoeff_valid(number: Column) -> Column:
 def hash_embed(rows: DataFrame, key: str, text: str = "text", dim: int = 64) -> DataFrame:
     """(key, v): bag of words hashed by md5 into a power-of-two number of places, of unit length; stop words left out.
 
-    Words are counted by place before the vector is built, so long texts cost no more than their words. Keys must be
-    unique; a text without words has the zero vector.
+    Words are cut by the JVM and counted in Arrow batches, a row at its place, so nothing is shuffled. A text without
+    words, or a null one, has the zero vector.
     """
     if dim & (dim - 1) or dim > 256:
         raise ValueError("dim must be a power of two, 256 at most")
+
+    def run(batches):
+        known: dict[str, int] = {}
+        for batch in batches:
+            words = batch.column(1)
+            sizes = np.diff(words.offsets.to_numpy())
+            coded = words.flatten().dictionary_encode()
+            found = coded.dictionary.to_pylist()
+            for w in found:
+                if w not in known:
+                    known[w] = int(hashlib.md5(w.encode()).hexdigest()[-2:], 16) & (dim - 1)
+            place = np.array([known[w] for w in found], np.int64)[coded.indices.to_numpy()]
+            counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * dim + place, minlength=len(sizes) * dim).reshape(-1, dim)
+            length = np.sqrt((counts * counts).sum(axis=1).astype(float))
+            v = counts / np.where(length > 0, length, 1.0)[:, None]
+            offsets = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * dim)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(v.reshape(-1)))], [key, "v"])
+            if len(known) > 1_000_000:
+                known = {}
+
     words = F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit("([a-z0-9]+)"), F.lit(1)), lambda w: ~w.isin(STOP_CACHE))
-    place = F.conv(F.substring(F.md5("w"), 31, 2), 16, 10).cast("int").bitwiseAND(F.lit(dim - 1))
-    counted = rows.select(key, F.explode_outer(words).alias("w")).groupBy(key, place.alias("place")).agg(F.count("w").alias("n"))
-    entries = F.map_from_entries(F.filter(F.collect_list(F.struct("place", "n")), lambda e: e["place"].isNotNull()))
-    built = counted.groupBy(key).agg(entries.alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("size"))
-    value = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i) / F.col("size"), F.lit(0.0)))
-    return built.select(key, value.alias("v"))
+    cut = rows.select(key, F.coalesce(words, F.array().cast("array<string>")).alias("w"))
+    return cut.mapInArrow(run, StructType([cut.schema[0], StructField("v", ArrayType(DoubleType()))]))
 
 
 def minhash_signature(shingles: Column, permutations: int = 64) -> Column:

@@ -167,7 +167,7 @@ def current_version(docs: DataFrame, as_of: str, by: str = "topic") -> DataFrame
 def first_urls(pages: DataFrame) -> DataFrame:
     """Pages with the first page of their canonical URL; a page is a repeat if that is another."""
     rows = pages.select("page_id", canonical_url(F.col("url")).alias("canonical"))
-    return rows.withColumn("first_id", F.min("page_id").over(Window.partitionBy("canonical")))
+    return rows.join(rows.groupBy("canonical").agg(F.min("page_id").alias("first_id")), "canonical").select("page_id", "canonical", "first_id")
 
 
 def dedupe_lines(docs: DataFrame) -> DataFrame:

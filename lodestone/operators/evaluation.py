@@ -84,13 +84,13 @@ def claims(answers: DataFrame) -> DataFrame:
     return answers.select("*", F.posexplode(atomic_claims(F.col("answer"))).alias("pos", "claim"))
 
 
-def faithfulness(answers: DataFrame, key: str) -> DataFrame:
+def faithfulness(answers: DataFrame, *key: str) -> DataFrame:
     """(key, claims, faithfulness, hallucination_rate) of answers (key, answer, context)."""
     judged = claims(answers).withColumn("ok", nli_label(F.col("claim"), F.col("context")) == "entailment")
-    counted = judged.groupBy(key).agg(F.count("*").alias("claims"), F.count_if("ok").alias("ok"))
-    full = answers.select(key).join(counted, key, "left").fillna(0, ["claims", "ok"])
+    counted = judged.groupBy(*key).agg(F.count("*").alias("claims"), F.count_if("ok").alias("ok"))
+    full = answers.select(*key).join(counted, list(key), "left").fillna(0, ["claims", "ok"])
     value = F.col("ok") / F.greatest(F.col("claims"), F.lit(1))
-    return full.select(key, "claims", F.round(value, 3).alias("faithfulness"), F.round(1 - value, 3).alias("hallucination_rate"))
+    return full.select(*key, "claims", F.round(value, 3).alias("faithfulness"), F.round(1 - value, 3).alias("hallucination_rate"))
 
 
 def claim_support(answers: DataFrame) -> DataFrame:
@@ -143,17 +143,20 @@ def abstention_rate(answers: DataFrame) -> DataFrame:
 
 
 def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
-    """Means over the queries that have relevant documents: hit rate, reciprocal rank, precision over what was returned, recall."""
+    """Means over all queries that have relevant documents: hit rate, reciprocal rank, precision over what was returned, recall.
+
+    A query that returned nothing counts 0 in each.
+    """
     top = ranked.filter(F.col("rank") <= k)
     got = top.groupBy("qid").agg(F.count("*").alias("got"))
     hits = top.join(relevant, ["qid", "doc_id"]).groupBy("qid").agg(F.count("*").alias("hits"), F.min("rank").alias("first"))
     rel = relevant.groupBy("qid").agg(F.count("*").alias("rel"))
-    rows = rel.join(got, "qid").join(hits, "qid", "left").fillna(0, ["hits"])
+    rows = rel.join(got, "qid", "left").join(hits, "qid", "left").fillna(0, ["hits", "got"])
     mean = lambda c, n: F.round(F.avg(c), 4).alias(n)
     return rows.agg(
         mean((F.col("hits") > 0).cast("double"), "hit_rate"),
         mean(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), "mrr"),
-        mean(F.col("hits") / F.col("got"), "precision"),
+        mean(F.col("hits") / F.greatest(F.col("got"), F.lit(1)), "precision"),
         mean(F.col("hits") / F.col("rel"), "recall"),
     )
 

@@ -87,7 +87,7 @@ def minhash_signature(spark, sf):
     return _docs(spark, sf).select("doc_id", F.array_join(s, ",").alias("signature"))
 
 
-MINHASH = f"""WITH {SHINGLES}, x AS (SELECT doc_id, unnest(s) AS x FROM s), m AS (SELECT doc_id, p, min(substr(md5(p || ':' || x), 1, 16)) AS h FROM x, range(8) r(p) GROUP BY ALL)
+MINHASH = f"""WITH {SHINGLES}, x AS (SELECT doc_id, unnest(s) AS x FROM s), m AS (SELECT doc_id, p, min(substr(md5(p || ':' || x), 1, 16)) AS h FROM x, range(64) r(p) GROUP BY ALL)
 SELECT doc_id, string_agg(h, ',' ORDER BY p) AS signature FROM m GROUP BY doc_id"""
 
 
@@ -116,13 +116,25 @@ SELECT g.doc_id, cluster_id, coalesce(links, 0) AS links FROM g JOIN c USING (re
 
 
 def canonical_version(spark, sf):
-    """Of each cluster the longest document, the greater id of equal ones."""
-    rows = C.near_duplicate_clusters(_docs(spark, sf)).join(read(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
-    return rows.groupBy("cluster_id").agg(F.max_by("doc_id", F.struct("n_chars", "doc_id")).alias("canonical"), F.count("*").alias("members"))
+    """Of each cluster the document that the version order puts last: superseding text, then the name's mark, then the date.
 
+    Names and dates are made of the ids, as documents have none; the greater id decides between equal ones.
+    """
+    i = F.col("doc_id")
+    name = F.concat(F.lit("report_"), F.element_at(F.array(*map(F.lit, MARKS)), (i % len(MARKS) + 1).cast("int")), F.lit(".txt"))
+    date = F.format_string("2024-%02d-01", (i % 12 + 1).cast("int"))
+    named = _docs(spark, sf).select("doc_id", C.version_order(name, F.col("text"), date).alias("version"))
+    rows = C.near_duplicate_clusters(_docs(spark, sf)).join(named, "doc_id")
+    return rows.groupBy("cluster_id").agg(F.max_by("doc_id", F.struct("version", "doc_id")).alias("canonical"), F.count("*").alias("members"))
 
-CANONICAL = CLUSTERS.replace("SELECT g.doc_id, cluster_id, coalesce(links, 0) AS links FROM g JOIN c USING (rep) LEFT JOIN l USING (rep)", """, f AS (SELECT g.doc_id, cluster_id, n_chars FROM g JOIN c USING (rep) JOIN documents d ON d.doc_id = g.doc_id)
-SELECT cluster_id, arg_max(doc_id, (n_chars, doc_id)) AS canonical, count(*) AS members FROM f GROUP BY cluster_id""").replace("GROUP BY a)\n, f", "GROUP BY a), f")
+
+#: Version marks of made-up file names.
+MARKS = ("v2", "draft", "final", "v11", "FINAL2")
+
+
+CANONICAL = CLUSTERS.replace("SELECT g.doc_id, cluster_id, coalesce(links, 0) AS links FROM g JOIN c USING (rep) LEFT JOIN l USING (rep)", """, f AS (SELECT g.doc_id, cluster_id, contains(lower(text), 'supersede')::INT AS s, [2, 0, 3, 11, 4][d.doc_id % 5 + 1] AS m, printf('2024-%02d-01', d.doc_id % 12 + 1) AS dt
+FROM g JOIN c USING (rep) JOIN documents d ON d.doc_id = g.doc_id)
+SELECT cluster_id, arg_max(doc_id, (s, m, dt, doc_id)) AS canonical, count(*) AS members FROM f GROUP BY cluster_id""").replace("GROUP BY a)\n, f", "GROUP BY a), f")
 
 
 def canonical_url(spark, sf):
@@ -150,13 +162,14 @@ SELECT doc_id, CAST(pos AS INTEGER) AS pos, line FROM k WHERE k <> '' QUALIFY ro
 
 
 def repeated_lines(spark, sf):
-    """Lines that three documents or more share, documents as pages: a share of the corpus so small that three is the bound."""
-    lines = _docs(spark, sf).select(F.col("doc_id").alias("page"), F.explode(F.split("text", "\n")).alias("text")).withColumn("band", F.lit("body"))
-    return C.repeated_lines(lines.filter(T.squeeze(F.col("text")) != ""), 5)
+    """Lines that a thousandth of all documents share, two at least, documents as pages."""
+    docs = _docs(spark, sf)
+    lines = docs.select(F.col("doc_id").alias("page"), F.explode(F.split("text", "\n")).alias("text")).withColumn("band", F.lit("body"))
+    return C.repeated_lines(lines.filter(T.squeeze(F.col("text")) != ""), docs.count(), 0.001)
 
 
 REPEATED = f"""WITH l AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(x), '[0-9]+', '#', 'g'), '{B}+', ' ', 'g')) AS sig, x FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents))
-SELECT sig, count(DISTINCT doc_id) AS pages, CASE WHEN length(trim(replace(sig, '#', ''))) <= 12 THEN 'watermark' ELSE 'repeating' END AS kind FROM l WHERE sig <> '' GROUP BY sig HAVING count(DISTINCT doc_id) >= 3"""
+SELECT sig, count(DISTINCT doc_id) AS pages, CASE WHEN length(trim(replace(sig, '#', ''))) <= 12 THEN 'watermark' ELSE 'repeating' END AS kind FROM l WHERE sig <> '' GROUP BY sig HAVING count(DISTINCT doc_id) >= greatest(2, (SELECT ceil(count(*) / 1000.0) FROM documents))"""
 
 
 def line_signature(spark, sf):
@@ -211,7 +224,7 @@ def filler_strip(spark, sf):
 
 
 def contradictions(spark, sf):
-    """Claims about refund windows that order priorities make, by customer segment as topic text."""
+    """Claims about refund windows and prices that orders make by the number of their priority, as topic text."""
     rows = read(spark, sf, "orders").join(read(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     text = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "refund within ").otherwise("priced at INR "), F.substring("o_orderpriority", 1, 1), F.lit(" days"))
     docs = rows.select(F.concat(F.col("o_orderkey").cast("string"), F.lit("_policy")).alias("filename"), text.alias("text"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
@@ -281,13 +294,43 @@ def compress_context(spark, sf):
     from ..plans.evaluation import _turns
 
     asked = T.tokenize_ascii(F.col("question"), 3)
-    rows = _turns(spark, sf).select("conv_id", asked.alias("q"), F.posexplode(T.sentences(F.col("answer"))).alias("pos", "s"))
+    rows = _turns(spark, sf).select("conv_id", "turn", asked.alias("q"), F.posexplode(T.sentences(F.col("answer"))).alias("pos", "s"))
     scored = rows.withColumn("score", F.size(F.array_intersect("q", T.tokenize_ascii(F.col("s"), 3))))
-    w = Window.partitionBy("conv_id")
+    w = Window.partitionBy("conv_id", "turn")
     keep = F.greatest(F.lit(1), F.bround(F.count("*").over(w) * 0.6)).cast("int")
     kept = scored.withColumn("keep", keep).withColumn("r", F.row_number().over(w.orderBy(F.desc("score"), "pos"))).filter("r <= keep")
-    return kept.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]), " ").alias("text"))
+    return kept.groupBy("conv_id", "turn").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda x: x["s"]), " ").alias("text"))
+
+
+def sentences_sql(text: str) -> str:
+    marked = rf"regexp_replace({text}, '([.;]){B}+([A-Z])', '\1' || chr(1) || '\2', 'g')"
+    return f"list_filter(list_transform(string_split({marked}, chr(1)), lambda p: trim(p)), lambda p: p <> '')"
+
+
+def _compress_sql() -> str:
+    from .evaluation import TURNS, _ascii
+
+    return f"""WITH {TURNS}, s AS (SELECT conv_id, turn, {_ascii("question", 3)} AS q, {sentences_sql("answer")} AS s FROM t), x AS (SELECT conv_id, turn, q, unnest(s) AS s, generate_subscripts(s, 1) AS pos, len(s) AS n FROM s),
+k AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY len(list_intersect(q, {_ascii("s", 3)})) DESC, pos) <= greatest(1, round_even(n * 0.6, 0)))
+SELECT conv_id, turn, string_agg(s, ' ' ORDER BY pos) AS text FROM k GROUP BY conv_id, turn"""
+
+
+PARAGRAPHS = """WITH RECURSIVE p AS MATERIALIZED (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS p FROM documents),
+r(doc_id, i, p, chunk_index, n) AS (SELECT doc_id, 0::BIGINT, NULL::VARCHAR, 0::BIGINT, 0::BIGINT FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT r.doc_id, p.i, p.p, CASE WHEN r.n + length(p.p) <= 500 THEN r.chunk_index ELSE r.chunk_index + 1 END, CASE WHEN r.n + length(p.p) <= 500 THEN r.n ELSE 0 END + length(p.p)
+FROM r JOIN p ON p.doc_id = r.doc_id AND p.i = r.i + 1), c AS (SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, coalesce(ltrim(string_agg(p, chr(10) ORDER BY i), chr(10)), '') AS text FROM r GROUP BY ALL)
+SELECT doc_id, chunk_index, text FROM c QUALIFY text <> '' OR chunk_index < max(chunk_index) OVER (PARTITION BY doc_id)"""
 
+#: Verhoeff's check of 12-digit texts s, by multiplying through the digits from the last one.
+VERHOEFF = """pw(i, d, v) AS (SELECT 0, d, d FROM range(10) t(d) UNION ALL SELECT i + 1, d, CAST('1576283094'[v + 1] AS BIGINT) FROM pw WHERE i < 7),
+r(s, i, c) AS (SELECT s, 0, 0::BIGINT FROM n UNION ALL SELECT s, r.i + 1, CASE WHEN c < 5 THEN CASE WHEN v < 5 THEN (c + v) % 5 ELSE 5 + (c + v) % 5 END WHEN v < 5 THEN 5 + (c - v + 5) % 5 ELSE (c - v + 5) % 5 END
+FROM r JOIN pw ON pw.i = r.i % 8 AND pw.d = CAST(s[12 - r.i] AS BIGINT) WHERE r.i < 12), ok AS (SELECT s, c = 0 AS valid FROM r WHERE i = 12)"""
+VERHOEFFS = f"""WITH RECURSIVE n AS (SELECT DISTINCT lpad(CAST(o_orderkey AS VARCHAR), 12, '7') AS s FROM orders), {VERHOEFF}
+SELECT o_orderkey, valid FROM orders JOIN ok ON s = lpad(CAST(o_orderkey AS VARCHAR), 12, '7')"""
+DETECT = f"""WITH RECURSIVE a AS (SELECT trim(unnest(regexp_extract_all(text, '(\\b[0-9]{{4}}\\s?[0-9]{{4}}\\s?[0-9]{{4}}\\b)'))) AS value FROM documents), n AS (SELECT DISTINCT regexp_replace(value, '[^0-9]', '', 'g') AS s FROM a), {VERHOEFF},
+l AS ({LUHN.replace("WITH c AS", "WITH c AS", 1)}), f AS (SELECT 'AADHAAR' AS kind, value FROM a JOIN ok ON s = regexp_replace(value, '[^0-9]', '', 'g') WHERE valid UNION ALL SELECT 'CARD', card FROM l WHERE valid
+UNION ALL SELECT 'PAN', unnest(regexp_extract_all(text, '\\b[A-Z]{{5}}[0-9]{{4}}[A-Z]\\b')) FROM documents UNION ALL SELECT 'ACCOUNT', unnest(regexp_extract_all(text, '(?i)\\baccount\\s+([0-9]{{9,18}})\\b', 1)) FROM documents)
+SELECT kind, count(*) AS n, count(DISTINCT value) AS distinct_values FROM f GROUP BY kind"""
 
 QUERIES = {
     "tokenize_alnum": (
@@ -302,7 +345,7 @@ QUERIES = {
     "token_estimate": (token_estimate, "SELECT doc_id, greatest(1, length(text) // 4) AS tokens FROM documents"),
     "chunk_fixed": (chunk_fixed, CHUNK),
     "chunk_length_aware": (chunk_length_aware, AWARE),
-    "chunk_paragraph": (chunk_paragraph, None),
+    "chunk_paragraph": (chunk_paragraph, PARAGRAPHS),
     "semantic_chunk": (semantic_chunk, None),
     "shingles": (shingles, f"WITH {SHINGLES} SELECT doc_id, CAST(len(s) AS BIGINT) AS n, md5(array_to_string(list_sort(s), '|')) AS digest FROM s"),
     "minhash_signature": (minhash_signature, MINHASH),
@@ -316,12 +359,13 @@ QUERIES = {
     "repeated_lines": (repeated_lines, REPEATED),
     "line_signature": (
         line_signature,
-        f"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(string_split(text, chr(10))[1]), '[0-9]+', '#', 'g'), '{B}+', ' ', 'g')) AS sig FROM documents",
+        f"""SELECT doc_id, CAST(pos AS INTEGER) AS pos, trim(regexp_replace(regexp_replace(lower(x), '[0-9]+', '#', 'g'), '{B}+', ' ', 'g')) AS sig FROM
+(SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)""",
     ),
-    "pii_detect": (pii_detect, None),
+    "pii_detect": (pii_detect, DETECT),
     "pii_redact": (pii_redact, None),
     "luhn_cards": (luhn_cards, LUHN),
-    "verhoeff": (verhoeff, None),
+    "verhoeff": (verhoeff, VERHOEFFS),
     "pii_placeholder": (
         pii_placeholder,
         "SELECT c_custkey, '[ACCOUNT_' || substr(sha256('rag-ingest-salt-v1:' || regexp_replace(c_name, '[^0-9]', '', 'g')), 1, 6) || ']' AS placeholder FROM customer",
@@ -347,5 +391,5 @@ QUERIES = {
         f"""SELECT qid, string_agg('[source: ' || qid || '#' || rank || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS context FROM (SELECT conv_id AS qid, turn AS rank, text,
 sum(len(regexp_extract_all(text, '{NB}'))) OVER (PARTITION BY conv_id ORDER BY turn) AS used FROM conversations) WHERE used <= 100 GROUP BY qid""",
     ),
-    "compress_context": (compress_context, None),
+    "compress_context": (compress_context, _compress_sql()),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_JUDGE, STOP_METRIC, atomic_claims
@@ -32,15 +33,24 @@ def claims_sql(text: str) -> str:
 
 
 def _turns(spark, sf):
-    """(conv_id, question, answer, context): first user turn, first assistant turn, and all text of the conversation's users."""
-    rows = read(spark, sf, "conversations")
-    first = lambda role: F.min_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("turn")))
-    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", "text")))), lambda t: t["text"]), "\n")
-    return rows.groupBy("conv_id").agg(first("user").alias("question"), first("assistant").alias("answer"), said.alias("context")).filter("question IS NOT NULL AND answer IS NOT NULL")
+    """(conv_id, turn, question, answer, context, ground_truth) of every assistant turn that a user turn precedes.
 
+    The question is the last user turn before; the context is that and the user turn before it; the assistant's next
+    turn, else the one before, else the answer itself, stands for the truth.
+    """
+    role = Window.partitionBy("conv_id", "role").orderBy("turn")
+    rows = read(spark, sf, "conversations").withColumns({"earlier": F.lag("text").over(role), "later": F.lead("text").over(role)})
+    so_far = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    asked = F.last(F.when(F.col("role") == "user", F.struct("text", "earlier")), ignorenulls=True).over(so_far)
+    rows = rows.withColumn("asked", asked).filter("role = 'assistant' AND asked.text IS NOT NULL AND text IS NOT NULL")
+    context, truth = F.concat_ws("\n", "asked.earlier", "asked.text"), F.coalesce("later", "earlier", "text")
+    return rows.select("conv_id", "turn", F.col("asked.text").alias("question"), F.col("text").alias("answer"), context.alias("context"), truth.alias("ground_truth"))
 
-TURNS = """t AS (SELECT conv_id, arg_min(text, turn) FILTER (role = 'user') AS question, arg_min(text, turn) FILTER (role = 'assistant') AS answer,
-string_agg(text, chr(10) ORDER BY turn, text) FILTER (role = 'user') AS context FROM conversations GROUP BY conv_id HAVING question IS NOT NULL AND answer IS NOT NULL)"""
+
+TURNS = """u AS (SELECT *, lag(text) OVER w AS earlier, lead(text) OVER w AS later FROM conversations WINDOW w AS (PARTITION BY conv_id, role ORDER BY turn)),
+v AS (SELECT *, last_value(CASE WHEN role = 'user' THEN {'q': text, 'e': earlier} END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS asked FROM u),
+t AS (SELECT conv_id, turn, asked.q AS question, text AS answer, concat_ws(chr(10), asked.e, asked.q) AS context, coalesce(later, earlier, text) AS ground_truth
+FROM v WHERE role = 'assistant' AND asked.q IS NOT NULL AND text IS NOT NULL)"""
 
 
 def atomic_claims_query(spark, sf):
@@ -48,29 +58,29 @@ def atomic_claims_query(spark, sf):
 
 
 def nli_label(spark, sf):
-    return _turns(spark, sf).select("conv_id", E.nli_label(F.col("question"), F.col("answer")).alias("label"))
+    return _turns(spark, sf).select("conv_id", "turn", E.nli_label(F.col("question"), F.col("answer")).alias("label"))
 
 
 def _overlap(a: str, b: str) -> str:
     return f"(len(list_intersect({a}, {b}))::DOUBLE / greatest(len({a}), 1))"
 
 
-NLI = f"""WITH {TURNS}, w AS (SELECT conv_id, {content_sql("question")} AS a, {content_sql("answer")} AS b FROM t)
-SELECT conv_id, CASE WHEN {_overlap("a", "b")} >= 0.6 THEN 'entailment' WHEN {_overlap("a", "b")} >= 0.2 THEN 'neutral' ELSE 'contradiction' END AS label FROM w"""
+NLI = f"""WITH {TURNS}, w AS (SELECT conv_id, turn, {content_sql("question")} AS a, {content_sql("answer")} AS b FROM t)
+SELECT conv_id, turn, CASE WHEN {_overlap("a", "b")} >= 0.6 THEN 'entailment' WHEN {_overlap("a", "b")} >= 0.2 THEN 'neutral' ELSE 'contradiction' END AS label FROM w"""
 
 
 def faithfulness(spark, sf):
-    return E.faithfulness(_turns(spark, sf), "conv_id")
+    return E.faithfulness(_turns(spark, sf), "conv_id", "turn")
 
 
-FAITH = f"""WITH {TURNS}, c AS (SELECT conv_id, unnest({claims_sql("answer")}) AS claim, context FROM t), w AS (SELECT conv_id, {content_sql("claim")} AS a, {content_sql("context")} AS b FROM c),
-s AS (SELECT conv_id, count(*) AS claims, count(*) FILTER ({_overlap("a", "b")} >= 0.6) AS ok FROM w GROUP BY conv_id)
-SELECT t.conv_id, coalesce(claims, 0) AS claims, round(coalesce(ok, 0)::DOUBLE / greatest(coalesce(claims, 0), 1), 3) AS faithfulness,
-round(1 - coalesce(ok, 0)::DOUBLE / greatest(coalesce(claims, 0), 1), 3) AS hallucination_rate FROM t LEFT JOIN s USING (conv_id)"""
+FAITH = f"""WITH {TURNS}, c AS (SELECT conv_id, turn, unnest({claims_sql("answer")}) AS claim, context FROM t), w AS (SELECT conv_id, turn, {content_sql("claim")} AS a, {content_sql("context")} AS b FROM c),
+s AS (SELECT conv_id, turn, count(*) AS claims, count(*) FILTER ({_overlap("a", "b")} >= 0.6) AS ok FROM w GROUP BY conv_id, turn)
+SELECT t.conv_id, t.turn, coalesce(claims, 0) AS claims, round(coalesce(ok, 0)::DOUBLE / greatest(coalesce(claims, 0), 1), 3) AS faithfulness,
+round(1 - coalesce(ok, 0)::DOUBLE / greatest(coalesce(claims, 0), 1), 3) AS hallucination_rate FROM t LEFT JOIN s USING (conv_id, turn)"""
 
 
 def claim_support(spark, sf):
-    """Claims of answers against the question, then against all user turns."""
+    """Claims of answers against the question, then against the user's last two turns."""
     rows = _turns(spark, sf).select("conv_id", "answer", F.col("question").alias("context"), F.col("context").alias("corpus"))
     return E.claim_support(rows).groupBy("support").agg(F.count("*").alias("n"))
 
@@ -80,28 +90,24 @@ w AS (SELECT {content_sql("claim")} AS a, {content_sql("question")} AS b, {conte
 SELECT CASE WHEN {_overlap("a", "b")} >= 0.6 THEN 'supported' WHEN {_overlap("a", "d")} >= 0.6 THEN 'retrieval_induced' ELSE 'generation_induced' END AS support, count(*) AS n FROM w GROUP BY 1"""
 
 
-def _samples(spark, sf):
-    return _turns(spark, sf).withColumn("ground_truth", F.col("context"))
-
-
 def rag_metrics(spark, sf):
-    """Means of the eight metrics over all conversations, and the hallucination rate."""
-    return E.mean_metrics(E.rag_metrics(_samples(spark, sf)))
+    """Means of the eight metrics over all answers, and the hallucination rate."""
+    return E.mean_metrics(E.rag_metrics(_turns(spark, sf)))
 
 
 def _means_sql() -> str:
     def part(x: str, w: str) -> str:
         return f"round(avg(len({x})::DOUBLE / greatest(len({w}), 1)), 3)"
 
-    both, union = "list_intersect(a, c)", "list_distinct(list_concat(a, c))"
+    both, union = "list_intersect(a, g)", "list_distinct(list_concat(a, g))"
     noise = "list_filter(list_filter(a, lambda w: NOT list_contains(c, w)), lambda w: NOT list_contains(q, w))"
     columns = {
-        "faithfulness": part(both, "a"), "answer_relevancy": part("list_intersect(a, q)", "a"), "context_precision": part("c", "c"),
-        "context_recall": part("c", "c"), "context_entity_recall": part("c", "c"), "answer_correctness": part(both, union),
+        "faithfulness": part("list_intersect(a, c)", "a"), "answer_relevancy": part("list_intersect(a, q)", "a"), "context_precision": part("list_intersect(c, g)", "c"),
+        "context_recall": part("list_intersect(g, c)", "g"), "context_entity_recall": part("list_intersect(g, c)", "g"), "answer_correctness": part(both, union),
         "answer_similarity": part(both, union), "noise_sensitivity": part(noise, "a"),
     }
     made = ", ".join(f"{v} AS {k}" for k, v in columns.items())
-    return f"""WITH {TURNS}, w AS (SELECT {metric_sql("question")} AS q, {metric_sql("answer")} AS a, {metric_sql("context")} AS c FROM t), r AS (SELECT {made} FROM w),
+    return f"""WITH {TURNS}, w AS (SELECT {metric_sql("question")} AS q, {metric_sql("answer")} AS a, {metric_sql("context")} AS c, {metric_sql("ground_truth")} AS g FROM t), r AS (SELECT {made} FROM w),
 h AS (SELECT *, round(1 - faithfulness, 3) AS hallucination_rate FROM r), m AS (SELECT metric, mean FROM (UNPIVOT h ON COLUMNS(*) INTO NAME metric VALUE mean))"""
 
 
@@ -161,30 +167,38 @@ def document_guardrails(spark, sf):
 
 
 def groundedness(spark, sf):
-    """Output flags of answers against the whole conversation's user turns."""
-    return _turns(spark, sf).select("conv_id", F.round(M.grounded_share(F.col("answer"), F.col("context")), 4).alias("grounded"))
+    """Share of each answer's words that the user's last two turns have."""
+    return _turns(spark, sf).select("conv_id", "turn", F.round(M.grounded_share(F.col("answer"), F.col("context")), 4).alias("grounded"))
 
 
 def _ascii(text: str, longer: int = 0) -> str:
     return f"list_distinct(list_filter(regexp_extract_all(lower({text}), '[a-z0-9]+'), lambda w: length(w) > {longer}))"
 
 
-GROUNDED = f"""WITH {TURNS}, w AS (SELECT conv_id, {_ascii("answer", 3)} AS a, {_ascii("context")} AS c FROM t)
-SELECT conv_id, round(len(list_intersect(a, c))::DOUBLE / greatest(len(a), 1), 4) AS grounded FROM w"""
+GROUNDED = f"""WITH {TURNS}, w AS (SELECT conv_id, turn, {_ascii("answer", 3)} AS a, {_ascii("context")} AS c FROM t)
+SELECT conv_id, turn, round(len(list_intersect(a, c))::DOUBLE / greatest(len(a), 1), 4) AS grounded FROM w"""
 
 
 def output_flags(spark, sf):
-    return _turns(spark, sf).select("conv_id", F.array_join(M.output_flags(F.col("answer"), F.col("context")), ",").alias("flags"))
+    return _turns(spark, sf).select("conv_id", "turn", F.array_join(M.output_flags(F.col("answer"), F.col("context")), ",").alias("flags"))
+
+
+def _output_sql() -> str:
+    leaks = [f"CASE WHEN regexp_matches(answer, '{p}') THEN 'output_pii_leak:{k}' END" for k, p in M.PII.items()]
+    toxic = f"CASE WHEN list_has_any(regexp_extract_all(lower(answer), '[a-z]+'), [{', '.join(repr(w) for w in M.TOXIC)}]) THEN 'output_toxicity' END"
+    loose = f"CASE WHEN share < 0.5 AND NOT contains(lower(answer), '{M.ABSTAIN.replace(chr(39), chr(39) * 2)}') THEN 'output_ungrounded:' || printf('%.2f', round(share, 2)) END"
+    return f"""WITH {TURNS}, w AS (SELECT *, {_ascii("answer", 3)} AS a, {_ascii("context")} AS c FROM t), s AS (SELECT *, len(list_intersect(a, c))::DOUBLE / greatest(len(a), 1) AS share FROM w)
+SELECT conv_id, turn, array_to_string(list_filter([{", ".join([*leaks, toxic, loose])}], lambda x: x IS NOT NULL), ',') AS flags FROM s"""
 
 
 def online_eval(spark, sf):
     """Faithfulness and relevance proxies of each answer."""
     faith, relevant = M.online_scores(F.col("question"), F.col("answer"), F.col("context"))
-    return _turns(spark, sf).select("conv_id", faith.alias("faithfulness"), relevant.alias("relevance"))
+    return _turns(spark, sf).select("conv_id", "turn", faith.alias("faithfulness"), relevant.alias("relevance"))
 
 
-ONLINE = f"""WITH {TURNS}, w AS (SELECT conv_id, {_ascii("answer", 3)} AS a, {_ascii("context")} AS c, {_ascii("question", 3)} AS q FROM t)
-SELECT conv_id, round(len(list_intersect(a, c))::DOUBLE / greatest(len(a), 1), 3) AS faithfulness, round(len(list_intersect(a, q))::DOUBLE / greatest(len(q), 1), 3) AS relevance FROM w"""
+ONLINE = f"""WITH {TURNS}, w AS (SELECT conv_id, turn, {_ascii("answer", 3)} AS a, {_ascii("context")} AS c, {_ascii("question", 3)} AS q FROM t)
+SELECT conv_id, turn, round(len(list_intersect(a, c))::DOUBLE / greatest(len(a), 1), 3) AS faithfulness, round(len(list_intersect(a, q))::DOUBLE / greatest(len(q), 1), 3) AS relevance FROM w"""
 
 
 def _traces(spark, sf):
@@ -301,7 +315,7 @@ QUERIES = {
     "guardrail_flags": (guardrail_flags, f"SELECT conv_id, turn, {_flag_sql('text')} AS flags FROM conversations"),
     "document_guardrails": (document_guardrails, f"SELECT doc_id, {_flag_sql('text')} AS flags FROM documents"),
     "groundedness": (groundedness, GROUNDED),
-    "output_flags": (output_flags, None),
+    "output_flags": (output_flags, _output_sql()),
     "online_eval": (online_eval, ONLINE),
     "fleet_metrics": (fleet_metrics, f"WITH {FLEET} SELECT * FROM m"),
     "alerts": (alerts, ALERTS),
@@ -316,6 +330,10 @@ round(sum((tokens * 0.15::DOUBLE + tokens * 0.6::DOUBLE) / 1000000), 6) AS small
     "sampled_eval": (sampled_eval, "SELECT event_id, (event_id + 1) % 10 = 0 AS sampled FROM events"),
     "canary_split": (canary_split, "SELECT event_id, (event_id + 1) % 3 = 0 AS canary FROM events"),
     "feedback_candidates": (feedback_candidates, "SELECT event_id AS request_id FROM events WHERE event_type = 'error'"),
-    "exact_cache_key": (exact_cache_key, f"SELECT conv_id AS id, row_number() OVER (PARTITION BY {KEY} ORDER BY conv_id) > 1 AS hit FROM conversations WHERE turn = 0"),
-    "lru_cache": (lru_cache, f"SELECT {KEY} AS key, max(conv_id) AS last_used FROM conversations WHERE turn = 0 GROUP BY 1 ORDER BY 2 DESC LIMIT 100"),
+    "exact_cache_key": (exact_cache_key, f"SELECT conv_id, turn, row_number() OVER (PARTITION BY {KEY} ORDER BY conv_id, turn) > 1 AS hit FROM conversations WHERE role = 'user'"),
+    "lru_cache": (
+        lru_cache,
+        f"""SELECT key, conv_id, turn FROM (SELECT {KEY} AS key, conv_id, turn FROM conversations WHERE role = 'user'
+QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY conv_id DESC, turn DESC) = 1) ORDER BY conv_id DESC, turn DESC LIMIT 256""",
+    ),
 }

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_embed
 from ..functions.text import STOP_CACHE, STOP_QUERY, tokenize_alnum, tokenize_stopwords, tokenize_words
-from ..functions.vectors import l2_normalize
+from ..functions.vectors import cosine, l2_normalize
 from ..operators import retrieval as R
+from ..operators.durable import written
 from .common import read, user_turns
 
 K = 10
@@ -47,8 +49,7 @@ dense AS (SELECT qid, doc_id, round(CASE WHEN list_sum(dv.v) = 0 OR list_sum(qv.
 
 def term_stats(spark, sf):
     """Document frequency and occurrences of every term."""
-    ix = R.index(_docs(spark, sf))
-    return ix.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
+    return R.index(_docs(spark, sf)).terms
 
 
 def bm25_topk(spark, sf):
@@ -67,7 +68,7 @@ def _dense(spark, sf):
 
 def _dense_top(spark, sf, k=K):
     queries, docs = _dense(spark, sf)
-    return R.top_k(R.dense_scores(queries, docs), ["qid"], [F.desc("score"), F.asc("doc_id")], k)
+    return R.top_k(R.dense_scores(queries, docs, k), ["qid"], [F.desc("score"), F.asc("doc_id")], k)
 
 
 def dense_topk(spark, sf):
@@ -84,8 +85,10 @@ FUSED = f"""l AS ({ranked_sql("dense")} UNION ALL {ranked_sql("scores")})"""
 
 
 def rrf_fusion(spark, sf):
-    """The same lists with ranks from 1, all fused documents."""
-    return R.rrf([_dense_top(spark, sf), bm25_topk(spark, sf)], first_rank=1)
+    """The full rankings of both sides, ranks from 1: every document by its vector, and those that hold a query word."""
+    queries, docs = _dense(spark, sf)
+    ranked = lambda scores: scores.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")))
+    return R.rrf([ranked(R.dense_scores(queries, docs)), ranked(R.bm25_scores(_queries(spark, sf), R.index(_docs(spark, sf))))], first_rank=1)
 
 
 def hybrid_weighted(spark, sf):
@@ -119,10 +122,20 @@ def multi_query(spark, sf):
     words = tokenize_alnum(F.col("text"))
     half = F.floor(F.size(words) / 2).cast("int")
     parts = [F.array_join(F.slice(words, 1, F.greatest(half, F.lit(1))), " "), F.array_join(F.slice(words, half + 1, F.size(words) - half), " ")]
-    ix = R.index(_docs(spark, sf))
     queries = _queries(spark, sf)
-    lists = [R.bm25_top_k(q, ix, 3) for q in (queries, *(queries.select("qid", p.alias("text")) for p in parts))]
-    return R.union_dedupe(lists)
+    variants = [q.select(F.struct("qid", F.lit(i).alias("list")).alias("qid"), "text") for i, q in enumerate((queries, *(queries.select("qid", p.alias("text")) for p in parts)))]
+    best = R.bm25_top_k(variants[0].union(variants[1]).union(variants[2]), R.index(_docs(spark, sf)), 3)
+    best = written(best.select("qid.qid", "qid.list", "doc_id", "rank"), "variants")
+    return R.union_dedupe([best.filter(F.col("list") == i) for i in range(3)])
+
+
+MULTI = f"""WITH w AS (SELECT item_id AS qid, {WORDS} AS w FROM benchmark), v AS (SELECT qid, 0 AS list, w FROM w UNION ALL SELECT qid, 1, w[1 : greatest(len(w) // 2, 1)] FROM w
+UNION ALL SELECT qid, 2, w[len(w) // 2 + 1 :] FROM w), t AS (SELECT doc_id, unnest({WORDS}) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+d AS (SELECT doc_id, len({WORDS}) AS dl FROM documents), f AS (SELECT term, count(*) AS df FROM p GROUP BY term), c AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM d),
+q AS (SELECT qid, list, term, count(*) AS qtf FROM (SELECT qid, list, unnest(w) AS term FROM v) GROUP BY ALL), s AS (SELECT qid, list, p.doc_id,
+round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN f USING (term) JOIN p USING (term) JOIN d ON d.doc_id = p.doc_id, c
+GROUP BY qid, list, p.doc_id), r AS (SELECT *, row_number() OVER (PARTITION BY qid, list ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 3),
+m AS (SELECT qid, doc_id, min(list * 1000 + rank) AS place FROM r GROUP BY ALL) SELECT qid, doc_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY place) AS INTEGER) AS pos FROM m"""
 
 
 def mmr_rerank(spark, sf):
@@ -134,9 +147,10 @@ def mmr_rerank(spark, sf):
 
 def rerank_shortlist(spark, sf):
     """The BM25 ten in the order of their dense score, first five."""
-    queries, docs = _dense(spark, sf)
-    dense = R.dense_scores(queries, docs).withColumnRenamed("score", "dense")
-    return R.rerank(bm25_topk(spark, sf).drop("score").join(dense, ["qid", "doc_id"]), F.col("dense"), 5).select("qid", "doc_id", "rank", "score")
+    shortlist = written(bm25_topk(spark, sf).select("qid", "doc_id"), "shortlist")
+    docs = hash_embed(_docs(spark, sf).join(shortlist.select("doc_id").distinct(), "doc_id"), "doc_id").withColumnRenamed("v", "dv")
+    pairs = shortlist.join(docs, "doc_id").join(hash_embed(_queries(spark, sf), "qid").withColumnRenamed("v", "qv"), "qid")
+    return R.rerank(pairs, F.round(cosine(F.col("qv"), F.col("dv")), 6), 5).select("qid", "doc_id", "rank", "score")
 
 
 RERANK = f"""WITH {bm25_sql(WORDS)}, {DENSE}, s AS ({ranked_sql("scores")}), r AS (SELECT s.qid, s.doc_id, dense.score FROM s
@@ -169,16 +183,17 @@ def knn_euclidean(spark, sf):
 
 
 def _knn_sql(score: str, order: str) -> str:
-    return f"""SELECT e.vec_id, round({score}, 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q
-ORDER BY round({score}, 6) {order}, e.vec_id LIMIT {K}"""
+    return f"""SELECT qid, vec_id, score FROM (SELECT q.vec_id AS qid, e.vec_id, round({score}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)
+QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score {order}, vec_id) <= {K}"""
 
 
 def l2_normalize_vectors(spark, sf):
-    """Norms before and after normalizing, and the first component."""
+    """The length of every vector after normalizing, and all its components to six places as text."""
     from ..functions.vectors import norm
 
     unit = l2_normalize(F.col("embedding"))
-    return read(spark, sf, "embeddings").select("vec_id", F.round(norm(unit), 6).alias("length"), F.round(unit[0], 6).alias("first"))
+    whole = F.array_join(F.transform(unit, lambda x: F.format_string("%d", F.round(x * 1_000_000).cast("bigint"))), ",")
+    return read(spark, sf, "embeddings").select("vec_id", F.round(norm(unit), 6).alias("length"), whole.alias("millionths"))
 
 
 def hash_embed_documents(spark, sf):
@@ -192,11 +207,23 @@ SELECT doc_id, array_to_string(list_transform(v, lambda x: CAST(round(CASE WHEN
 
 
 def semantic_cache(spark, sf):
-    """For each user turn the nearest earlier user turn by hashed vectors, where it reaches 0.92."""
+    """For each user turn, and its words in reverse order asked right after it, the nearest request before by hashed vectors, from 0.92 on."""
     from ..operators.monitoring import semantic_cache_hits
 
-    hits = semantic_cache_hits(user_turns(spark, sf), 0.92)
-    return hits.select("id.conv_id", "id.turn", F.col("hit_id.conv_id").alias("hit_conv_id"), F.col("hit_id.turn").alias("hit_turn"), "similarity")
+    turns = user_turns(spark, sf)
+    again = F.array_join(F.reverse(F.split("text", " ")), " ")
+    asked = F.array(F.struct(F.lit(0).alias("again"), F.col("text").alias("text")), F.struct(F.lit(1).alias("again"), again.alias("text")))
+    requests = turns.select("id", F.inline(asked)).select(F.struct("id.conv_id", "id.turn", "again").alias("id"), "text")
+    hits = semantic_cache_hits(requests, 0.92)
+    to = F.col("hit_id")
+    return hits.select("id.conv_id", "id.turn", "id.again", to["conv_id"].alias("hit_conv_id"), to["turn"].alias("hit_turn"), to["again"].alias("hit_again"), "similarity")
+
+
+SEMANTIC = f"""WITH r AS (SELECT conv_id, turn, 0 AS again, text FROM conversations WHERE role = 'user' UNION ALL
+SELECT conv_id, turn, 1, array_to_string(list_reverse(string_split(text, ' ')), ' ') FROM conversations WHERE role = 'user'), v AS MATERIALIZED (SELECT conv_id, turn, again, {EMBED} AS v FROM r),
+s AS (SELECT a.conv_id, a.turn, a.again, b.conv_id AS hit_conv_id, b.turn AS hit_turn, b.again AS hit_again, round(list_cosine_similarity(a.v, b.v), 6) AS similarity
+FROM v a, v b WHERE (b.conv_id, b.turn, b.again) < (a.conv_id, a.turn, a.again) AND list_sum(a.v) > 0 AND list_sum(b.v) > 0)
+SELECT * FROM s WHERE similarity >= 0.92 QUALIFY row_number() OVER (PARTITION BY conv_id, turn, again ORDER BY similarity DESC, hit_conv_id, hit_turn, hit_again) = 1"""
 
 
 def retrieval_metrics(spark, sf):
@@ -204,16 +231,15 @@ def retrieval_metrics(spark, sf):
     from ..operators.evaluation import ranking_metrics
 
     queries, docs = _queries(spark, sf), _docs(spark, sf)
-    relevant = docs.crossJoin(queries.withColumnRenamed("text", "passage")).filter(F.col("text").contains(F.col("passage"))).select("qid", "doc_id")
-    return ranking_metrics(bm25_topk(spark, sf), relevant, K)
+    return ranking_metrics(bm25_topk(spark, sf), R.containing(docs, queries), K)
 
 
 METRICS = f"""WITH {bm25_sql(WORDS)}, r AS ({ranked_sql("scores")}), g AS (SELECT item_id AS qid, doc_id FROM documents d, benchmark b WHERE contains(d.text, b.text)),
 gn AS (SELECT qid, count(*) AS rel FROM g GROUP BY qid), h AS (SELECT r.qid, count(*) AS hits, min(rank) AS first FROM r JOIN g USING (qid, doc_id) GROUP BY r.qid),
 rn AS (SELECT qid, count(*) AS got FROM r GROUP BY qid)
 SELECT round(avg(CASE WHEN hits > 0 THEN 1.0::DOUBLE ELSE 0 END), 4) AS hit_rate, round(avg(coalesce(1.0::DOUBLE / first, 0)), 4) AS mrr,
-round(avg(coalesce(hits, 0)::DOUBLE / got), 4) AS precision, round(avg(coalesce(hits, 0)::DOUBLE / rel), 4) AS recall
-FROM gn JOIN rn USING (qid) LEFT JOIN h USING (qid)"""
+round(avg(coalesce(hits, 0)::DOUBLE / greatest(coalesce(got, 0), 1)), 4) AS precision, round(avg(coalesce(hits, 0)::DOUBLE / rel), 4) AS recall
+FROM gn LEFT JOIN rn USING (qid) LEFT JOIN h USING (qid)"""
 
 
 def route_rules(spark, sf):
@@ -243,11 +269,11 @@ FROM benchmark b CROSS JOIN d LEFT JOIN scores s ON s.qid = b.item_id AND s.doc_
     ),
     "rrf_fusion": (
         rrf_fusion,
-        f"WITH {bm25_sql(WORDS)}, {DENSE}, {FUSED} SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM l GROUP BY ALL",
+        f"WITH {bm25_sql(WORDS)}, {DENSE}, l AS ({ranked_sql('dense', 2**40)} UNION ALL {ranked_sql('scores', 2**40)}) SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM l GROUP BY ALL",
     ),
     "hybrid_weighted": (hybrid_weighted, WEIGHTED),
     "union_dedupe": (union_dedupe, UNION),
-    "multi_query": (multi_query, None),
+    "multi_query": (multi_query, MULTI),
     "mmr_rerank": (mmr_rerank, None),
     "rerank_shortlist": (rerank_shortlist, RERANK),
     "synonym_expand": (synonym_expand, SYNONYMS),
@@ -256,10 +282,10 @@ FROM benchmark b CROSS JOIN d LEFT JOIN scores s ON s.qid = b.item_id AND s.doc_
     "l2_normalize": (
         l2_normalize_vectors,
         """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS z FROM embeddings)
-SELECT vec_id, CASE WHEN z > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length, round(v[1] / z, 6) AS first FROM e""",
+SELECT vec_id, CASE WHEN z > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length, array_to_string(list_transform(v, lambda x: CAST(round(CASE WHEN z > 0 THEN x / z ELSE 0 END * 1000000) AS BIGINT)), ',') AS millionths FROM e""",
     ),
     "hash_embed": (hash_embed_documents, HASHED),
-    "semantic_cache": (semantic_cache, None),
+    "semantic_cache": (semantic_cache, SEMANTIC),
     "retrieval_metrics": (retrieval_metrics, METRICS),
     "route_rules": (
         route_rules,

@@ -204,5 +204,11 @@ QUERIES = {
     "render_diagnosis": (render_diagnosis, None),
     "main_content": (main_content, None),
     "boilerplate_leak": (boilerplate_leak, None),
-    "turn_parse": (turn_parse, None),
+    "turn_parse": (
+        turn_parse,
+        r"""WITH l AS (SELECT conv_id, turn, trim(unnest(string_split(printf('[%02d:%02d:%02d] SPEAKER_%02d: ', turn // 60, turn % 60, 0, turn % 2) || text, chr(10))) , ' ') AS line,
+generate_subscripts(string_split(text, chr(10)), 1) AS i FROM conversations WHERE text IS NOT NULL), b AS (SELECT *, CASE WHEN i = 1 THEN trim(regexp_replace(line, '^\[[0-9:]+\] SPEAKER_[0-9]+:', '')) ELSE line END AS b FROM l WHERE line <> '')
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS turn, printf('SPEAKER_%02d', turn % 2) AS speaker, CAST((turn // 60) * 3600 + (turn % 60) * 60 AS INTEGER) AS start_sec,
+string_agg(b, ' ' ORDER BY i) AS text FROM b GROUP BY conv_id, b.turn""",
+    ),
 }
