@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,10 +25,24 @@ def held_out(column: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string")) % folds == 1, F.lit(False))
 
 
+@lru_cache(1)
+def steady() -> None:
+    """Has this process give large arrays back to the system when they are freed; its allocators keep them in pieces else.
+
+    Workers call it, as several kinds of them follow each other in one process.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Applies fn to every Arrow batch; nothing is kept between batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steady()
         for batch in batches:
             if batch.num_rows:
                 yield fn(batch)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, map_batches, pieces_of
+from .common import hash_sample, map_batches, pieces_of, steady
 
 PER_LANGUAGE = 400
 BUCKETS = 1 << 16
@@ -343,6 +343,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        steady()
         for batch in batches:
             texts = batch.column("text").to_pylist()
             found = label(shared.value, texts)

@@ -25,9 +25,7 @@ the one class has probability one; repeated rows score, and count, each; a null
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
-from functools import lru_cache
 from math import ceil
 
 import numpy as np
@@ -39,6 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.durable import written
+from .common import steady
 
 #: Smoothing of words after one word, after two, and so on; one more than their number is the order.
 MU = (300.0, 10.0)
@@ -77,15 +76,6 @@ def _unpack_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(np.r_[np.frombuffer(raw[8:16], np.uint64), planes.view(np.uint64).reshape(-1)], dtype=np.uint64)
 
 
-@lru_cache(1)
-def steady() -> None:
-    """Has the C library give large arrays back to the system when they are freed, which it otherwise keeps in pieces."""
-    try:
-        ctypes.CDLL(None).mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hashes of n-grams from those of their beginnings and last words."""
     with np.errstate(over="ignore"):
