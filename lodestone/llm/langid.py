@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, map_batches, pieces_of, steady
+from .common import hash_sample, map_batches, pieces_of, slices
 
 PER_LANGUAGE = 400
 BUCKETS = 1 << 16
@@ -343,8 +343,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFr
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        steady()
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             found = label(shared.value, texts)
             yield batch.filter(pa.array([x[0] != "und" and x[1] >= least for x in found], pa.bool_()))

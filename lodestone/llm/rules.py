@@ -18,7 +18,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import map_batches, steady
+from .common import map_batches, slices
 
 SYMBOLS = "#*$%&|<>"
 #: (bytes up to which the band holds, least ratio, greatest ratio), for the library's level 3: what fit_bands() gave for
@@ -168,9 +168,8 @@ def keep_documents(docs: DataFrame) -> DataFrame:
     names = docs.columns
 
     def run(batches):
-        steady()
         packer = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in slices(batches):
             kept = [judge(t.as_py(), packer)[6] for t in batch.column("text")]
             yield batch.filter(pa.array(kept, pa.bool_()))
 

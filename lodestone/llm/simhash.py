@@ -201,19 +201,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows are told apart by doc_id and text; of rows that agree in both, the one whose other columns hash least stays.
     """
     rows = written(fingerprints(docs), "documents")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    none, number = F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0))
+    order = F.struct(none.alias("none"), number.alias("id"), F.col("text_hash").alias("hash"))
     chosen = components(rows).groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone"))
-    chosen = chosen.agg(F.min(order).alias("o")).select("o.doc_id", "o.text_hash")
-    copies = rows.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(F.count("*").alias("copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
-    chosen = written(chosen.join(copies, same).select("id", "hash", "copies"), "chosen")
+    chosen = written(chosen.agg(F.min(order).alias("o")).select("o.*"), "chosen")
+    doc_id = docs["doc_id"].cast("bigint")
     names = [f"`{f.name}`" for f in docs.schema.fields if not isinstance(f.dataType, MapType | VariantType)]
     full = docs.select(
         F.struct(*(docs[f"`{n}`"] for n in docs.columns)).alias("row"),
-        docs["doc_id"].cast("bigint").alias("doc_id"),
-        F.xxhash64(docs["text"].cast("string")).alias("text_hash"),
+        doc_id.isNull().alias("none"),
+        F.coalesce(doc_id, F.lit(0)).alias("id"),
+        F.xxhash64(docs["text"].cast("string")).alias("hash"),
         F.xxhash64(*(docs[n] for n in names)).alias("rest"),
     )
-    kept = full.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")))
-    several = kept.filter("copies > 1").groupBy("id", "hash").agg(F.min_by("row", "rest").alias("row"))
-    return kept.filter("copies = 1").select("row").union(several.select("row")).select("row.*")
+    # joined and grouped by the same keys, so texts are shuffled once
+    key = ["none", "id", "hash"]
+    return full.join(chosen, key).groupBy(*key).agg(F.min_by("row", "rest").alias("row")).select("row.*")
