@@ -38,6 +38,8 @@ BLOCK_WORDS, SHARD_WORDS = 4_096, 1_000_000
 FRONTIER = 256
 #: Blocks grow beyond this number in all, which the hypergeometric draw can still take.
 MOST_BLOCKS = 1 << 28
+#: Sources whose table, some numbers for each, is broadcast.
+MOST_BROADCAST = 10_000
 #: Slots of a source whose words are added up together on the way to its quota.
 BIN = 4_096
 
@@ -139,6 +141,11 @@ def _in_blocks(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return rows.join(sources, "s").withColumn("block", block)
 
 
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """A table of some rows of numbers, broadcast where that is sure to be small."""
+    return F.broadcast(table) if rows <= MOST_BROADCAST else table
+
+
 def _fit(inside):
     """Of a source's last block, in random order, every document that fits; at the end one more, if nearer to the target."""
     inside = inside.sort_values("key")
@@ -170,6 +177,7 @@ def _draws(rows: DataFrame, shards: int | None, block_words: int, weights: tuple
     rest = [t - f * n for t, f, n in zip(wanted, full, sizes, strict=True)]
     schema = "s string, blocks bigint, source_size bigint, target double, pass int, rest double"
     sources = spark.createDataFrame([(s, b, n, t, f, r) for (s, n), b, t, f, r in zip(found, blocks, wanted, full, rest, strict=True)], schema)
+    sources = _small(sources, len(found))
 
     @F.pandas_udf("bigint")
     def slot(name, block, blocks):
@@ -184,7 +192,7 @@ def _draws(rows: DataFrame, shards: int | None, block_words: int, weights: tuple
         return F.xxhash64(F.lit(seed), F.col("s"), pass_)
 
     # The last pass goes on in the permuted order up to the target: first to the right bin, then to the right slot.
-    words = _in_blocks(rows.filter("size > 0"), sources.filter("rest > 0")).groupBy("s", "block", "blocks", "rest", "pass").agg(F.sum("size").alias("words"))
+    words = _in_blocks(rows.filter("size > 0"), _small(sources.filter("rest > 0"), len(found))).groupBy("s", "block", "blocks", "rest", "pass").agg(F.sum("size").alias("words"))
     words = written(words.withColumn("slot", slot(name(F.col("pass")), "block", "blocks")).withColumn("bin", F.floor(F.col("slot") / BIN)), "blocks")
     before = F.coalesce(F.sum("words").over(Window.partitionBy("s").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bins = words.groupBy("s", "bin").agg(F.sum("words").alias("words"), F.first("rest").alias("rest")).withColumn("base", before)
@@ -194,7 +202,7 @@ def _draws(rows: DataFrame, shards: int | None, block_words: int, weights: tuple
     last = slots.groupBy("s").agg(F.max(F.struct("slot", "block", (F.col("rest") - F.col("start")).alias("room"))).alias("x")).select("s", "x.*").collect()
     last = {r["s"]: r for r in last}
     # The last block of each source, document by document: block_words words or about that.
-    edge = spark.createDataFrame([(s, r["block"], r["room"]) for s, r in last.items()], "s string, block bigint, room double")
+    edge = _small(spark.createDataFrame([(s, r["block"], r["room"]) for s, r in last.items()], "s string, block bigint, room double"), len(last))
     inside = _in_blocks(rows, sources).join(edge, ["s", "block"]).groupBy("s", "key", "room").agg(F.sum("size").alias("size"))
     fitted = inside.groupBy("s").applyInPandas(_fit, "s string, cut array<bigint>").collect()
     cuts = {r["s"]: r["cut"] for r in fitted}
@@ -215,7 +223,7 @@ def _draws(rows: DataFrame, shards: int | None, block_words: int, weights: tuple
     tree = spark.createDataFrame(nodes, "first bigint, last bigint, has array<bigint>, low array<bigint>")
     tree = tree.repartition(max(1, min(len(nodes), 64))).mapInArrow(grow, "i bigint, draw bigint, shard bigint")
     ends = [(i, s, b, f, last[s]["slot"] if s in last else -1, cuts.get(s)) for i, ((s, _), b, f) in enumerate(zip(found, blocks, full, strict=True))]
-    ends = spark.createDataFrame(ends, "i bigint, s string, blocks bigint, full int, slot bigint, cut array<bigint>")
+    ends = _small(spark.createDataFrame(ends, "i bigint, s string, blocks bigint, full int, slot bigint, cut array<bigint>"), len(ends))
 
     @F.pandas_udf("bigint")
     def block_of(name, slot, blocks):
@@ -230,7 +238,7 @@ def _draws(rows: DataFrame, shards: int | None, block_words: int, weights: tuple
     drawn = drawn.withColumn("block", block_of(name(F.col("pass")), "at", "blocks"))
     one = F.struct("pass", "shard", "part", F.when(F.col("part"), F.col("cut")).alias("cut"))
     drawn = drawn.groupBy("s", "block").agg(F.array_sort(F.collect_list(one)).alias("draws"))  # cap entries at most
-    return sources.drop("pass", "rest"), written(drawn, "draws")
+    return _small(sources.drop("pass", "rest"), len(found)), written(drawn, "draws")
 
 
 def _taken(rows: DataFrame, sources: DataFrame, draws: DataFrame) -> DataFrame:
