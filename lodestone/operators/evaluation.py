@@ -61,6 +61,16 @@ def gate(means: DataFrame, floors=FLOORS, ceilings=CEILINGS) -> DataFrame:
     return rules.join(means, "metric", "left").select("metric", "mean", "threshold", status.alias("status"))
 
 
+def pass_counts(scored: DataFrame, floors=FLOORS, ceilings=CEILINGS) -> DataFrame:
+    """(metric, passed, n, rate) over samples, each metric against its floor or ceiling; all of them together as overall."""
+    checks = [(m, F.col(m) >= t) for m, t in floors.items() if m in scored.columns] + [(m, F.col(m) <= t) for m, t in ceilings.items() if m in scored.columns]
+    row = scored.agg(F.count("*").alias("n"), *(F.count_if(ok).alias(m) for m, ok in checks))
+    parts = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("passed"), "n") for m, _ in checks]
+    whole = F.struct(F.lit("overall").alias("metric"), sum((F.col(m) for m, _ in checks), F.lit(0)).cast("bigint").alias("passed"), (F.col("n") * len(checks)).alias("n"))
+    rows = row.select(F.inline(F.array(*parts, whole)))
+    return rows.withColumn("rate", F.round(F.col("passed") / F.greatest(F.col("n"), F.lit(1)), 3))
+
+
 def failures(scored: DataFrame, floors=FLOORS, ceilings=CEILINGS) -> DataFrame:
     """Samples with the names of the metrics they miss; samples that miss none are left out."""
     low = [F.when(F.col(m) < t, F.lit(m)) for m, t in floors.items() if m in scored.columns]

@@ -95,6 +95,17 @@ class Service:
         scored = scored.withColumns({"qid": F.lit(0), "score": F.round(cosine(F.col("v"), F.col("_q")), 6)}).drop("_q", "v")
         return top_k(scored, ["qid"], [F.desc("score"), F.asc("doc_id"), F.asc("chunk_index")], k).drop("qid", "ingest")
 
+    def hybrid(self, question: str, k: int = 4) -> DataFrame:
+        """The k best chunks by reciprocal ranks of the k nearest and of the k best by BM25."""
+        from .retrieval import bm25_top_k, index, rrf
+
+        rows = self.index().withColumn("key", F.struct("doc_id", "chunk_index"))
+        asked = self.spark.createDataFrame([(0, question)], "qid int, text string")
+        dense = self.retrieve(question, k).select(F.lit(0).alias("qid"), F.struct("doc_id", "chunk_index").alias("doc_id"), "rank")
+        sparse = bm25_top_k(asked, index(rows.select("key", "text"), "key"), k)
+        best = top_k(rrf([dense, sparse]), ["qid"], [F.desc("score"), F.asc("doc_id")], k).select(F.col("doc_id").alias("key"), "score", "rank")
+        return rows.join(best, "key").drop("key", "v", "ingest")
+
     def query(self, question: str, k: int = 4, filters: dict[str, object] | str | None = None) -> dict:
         """answer, grounded, and sources with 200-character snippets. Without evidence the answerer is not called."""
         hits = self.retrieve(question, k, filters).filter("score > 0").orderBy("rank").collect()
@@ -130,7 +141,7 @@ def hyde(service: Service, question: str, write: Callable[[str], str], k: int =
 
 
 def routed(service: Service, question: str, variants: Callable[[str], list[str]], write: Callable[[str], str], k: int = 4) -> tuple[str, DataFrame]:
-    """The strategy that the rules choose, and its chunks; hybrid and dense both read the index."""
+    """The strategy that the rules choose, and its chunks."""
     from .retrieval import route_rules
 
     name = service.spark.createDataFrame([(question,)], "q string").select(route_rules(F.col("q")).alias("r")).first()["r"]
@@ -142,4 +153,31 @@ def routed(service: Service, question: str, variants: Callable[[str], list[str]]
             rows = service.retrieve(v, k)
             found = rows if found is None else found.unionByName(rows)
         return name, found.dropDuplicates(["doc_id", "chunk_index"])
-    return name, service.retrieve(question, k)
+    return name, service.hybrid(question, k) if name == "hybrid" else service.retrieve(question, k)
+
+
+def chosen_route(reply: str, labels: tuple[str, ...] = ("dense", "hybrid", "multi_query", "hyde")) -> str:
+    """The label that a model's reply is, or else begins or names first; the first label without one."""
+    low = reply.strip().lower()
+    found = [(low.find(x), i) for i, x in enumerate(labels) if x in low]
+    return labels[min(found)[1]] if found else labels[0]
+
+
+def typed_answer(raw: str, model: Callable[[str], str]) -> dict:
+    """A model's JSON answer with answer and grounded checked; what fails goes back to the model once, then raises."""
+    import json
+
+    for attempt in range(2):
+        try:
+            got = json.loads(raw)
+            if not isinstance(got, dict) or not isinstance(got.get("answer"), str) or not isinstance(got.get("grounded"), bool):
+                raise ValueError("answer must be a text and grounded true or false")
+            ids = got.get("cited_order_ids", [])
+            if not isinstance(ids, list) or not all(isinstance(i, str) for i in ids):
+                raise ValueError("cited_order_ids must be a list of texts")
+            return {"answer": got["answer"], "cited_order_ids": ids, "grounded": got["grounded"]}
+        except ValueError as error:
+            if attempt:
+                raise
+            raw = model(repair_prompt(raw, str(error), "answer: text, cited_order_ids: list of texts, grounded: boolean"))
+    raise AssertionError

@@ -59,6 +59,13 @@ AWARE = f"""WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '{NB}') AS
 SELECT doc_id, doc_id || '#' || i AS chunk_id, array_to_string(w[i * 45 + 1 : i * 45 + 60], ' ') AS text FROM i UNION ALL SELECT doc_id, doc_id || '#0', text FROM d WHERE len(w) <= 80"""
 
 
+def chunk_counts(spark, sf):
+    """Chunks of every source, by length-aware windows, and documents."""
+    counts = C.chunk_length_aware(_docs(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("chunks"))
+    rows = read(spark, sf, "documents").select("doc_id", "source").join(counts, "doc_id", "left")
+    return rows.groupBy("source").agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"), F.count("*").alias("documents"))
+
+
 def chunk_paragraph(spark, sf):
     """Lines packed up to 500 characters."""
     return C.chunk_paragraphs(_docs(spark, sf), by="\n")
@@ -346,6 +353,10 @@ QUERIES = {
     "chunk_fixed": (chunk_fixed, CHUNK),
     "chunk_length_aware": (chunk_length_aware, AWARE),
     "chunk_paragraph": (chunk_paragraph, PARAGRAPHS),
+    "chunk_counts": (
+        chunk_counts,
+        f"WITH c AS ({AWARE}) SELECT source, CAST(coalesce(sum(chunks), 0) AS BIGINT) AS chunks, count(*) AS documents FROM documents LEFT JOIN (SELECT doc_id, count(*) AS chunks FROM c GROUP BY doc_id) USING (doc_id) GROUP BY source",
+    ),
     "semantic_chunk": (semantic_chunk, None),
     "shingles": (shingles, f"WITH {SHINGLES} SELECT doc_id, CAST(len(s) AS BIGINT) AS n, md5(array_to_string(list_sort(s), '|')) AS digest FROM s"),
     "minhash_signature": (minhash_signature, MINHASH),

@@ -111,6 +111,22 @@ def _means_sql() -> str:
 h AS (SELECT *, round(1 - faithfulness, 3) AS hallucination_rate FROM r), m AS (SELECT metric, mean FROM (UNPIVOT h ON COLUMNS(*) INTO NAME metric VALUE mean))"""
 
 
+def pass_counts(spark, sf):
+    """How many answers pass each metric, and all together."""
+    return E.pass_counts(E.rag_metrics(_turns(spark, sf)))
+
+
+def _passes_sql() -> str:
+    share = lambda x, w: f"len({x})::DOUBLE / greatest(len({w}), 1)"
+    noise = "list_filter(list_filter(a, lambda w: NOT list_contains(c, w)), lambda w: NOT list_contains(q, w))"
+    truth = share("list_intersect(a, g)", "list_distinct(list_concat(a, g))")
+    values = [share("list_intersect(a, c)", "a"), share("list_intersect(a, q)", "a"), share("list_intersect(c, g)", "c"), share("list_intersect(g, c)", "g"), share("list_intersect(g, c)", "g"), truth, truth]
+    parts = [f"SELECT '{m}' AS metric, count(*) FILTER ({v} >= {t}) AS passed, count(*) AS n FROM w" for (m, t), v in zip(E.FLOORS.items(), values, strict=True)]
+    parts += [f"SELECT '{m}', count(*) FILTER ({share(noise, 'a')} <= {t}), count(*) FROM w" for m, t in E.CEILINGS.items()]
+    return f"""WITH {TURNS}, w AS (SELECT {metric_sql("question")} AS q, {metric_sql("answer")} AS a, {metric_sql("context")} AS c, {metric_sql("ground_truth")} AS g FROM t),
+m AS ({" UNION ALL ".join(parts)}), o AS (SELECT * FROM m UNION ALL SELECT 'overall', CAST(sum(passed) AS BIGINT), CAST(sum(n) AS BIGINT) FROM m) SELECT metric, passed, n, round(passed::DOUBLE / greatest(n, 1), 3) AS rate FROM o"""
+
+
 def metric_gate(spark, sf):
     return E.gate(rag_metrics(spark, sf))
 
@@ -310,6 +326,7 @@ QUERIES = {
     "claim_support": (claim_support, SUPPORT),
     "rag_metrics": (rag_metrics, f"{_means_sql()} SELECT metric, mean FROM m"),
     "metric_gate": (metric_gate, GATE),
+    "pass_counts": (pass_counts, _passes_sql()),
     "citation_check": (citation_check, _citation_sql()),
     "self_consistency": (self_consistency, CONSISTENT),
     "guardrail_flags": (guardrail_flags, f"SELECT conv_id, turn, {_flag_sql('text')} AS flags FROM conversations"),

@@ -154,6 +154,14 @@ def schema_drift(spark, sf):
 DRIFT = """SELECT 'rename' AS kind, 'user_id' AS field, 'userId -> user_id' AS detail, count(*) AS n FROM events WHERE event_id % 2 = 1 UNION ALL SELECT 'type_change', 'ts', 'int -> str', count(*) FROM events WHERE event_id % 2 = 1"""
 
 
+def record_alignment(spark, sf):
+    """Event records, every other one without its user, over one list of fields: what is absent is null."""
+    e = read(spark, sf, "events")
+    pair = lambda k, v: F.struct(F.lit(k).alias("key"), v.cast("string").alias("value"))
+    fields = F.array_compact(F.array(pair("event", F.col("event_type")), F.when(F.col("event_id") % 2 == 0, pair("user_id", F.col("user_id")))))
+    return C.align(e.select(F.col("event_id").alias("idx"), F.inline(fields)), ["event", "user_id", "meta"])
+
+
 def render_diagnosis(spark, sf):
     """Visible and script characters of every page, and whether it needs a browser."""
     return P.diagnose_render(read(spark, sf, "pages"))
@@ -201,6 +209,10 @@ QUERIES = {
     "json_flatten": (json_flatten, FLAT),
     "json_presence": (json_presence, PRESENCE),
     "schema_drift": (schema_drift, DRIFT),
+    "record_alignment": (
+        record_alignment,
+        """SELECT event_id AS idx, unnest(['event', 'user_id', 'meta']) AS field, unnest([event_type, CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) END, NULL]) AS value FROM events""",
+    ),
     "render_diagnosis": (render_diagnosis, None),
     "main_content": (main_content, None),
     "boilerplate_leak": (boilerplate_leak, None),

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import corpus, evaluation, monitoring, retrieval, tables
@@ -149,6 +150,53 @@ def test_headers(spark):
     assert got == {(0, "region"): "IN", (0, "revenue"): "12", (0, "revenue_growth_pct"): "3%", (0, "ops_head"): "4"}
 
 
+def test_service_routes_repairs_and_command_line(spark, tmp_path):
+    from lodestone.__main__ import main
+    from lodestone.operators import retrieval, service as S
+
+    where = str(tmp_path / "docs")
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["order 1004 was returned", "a monitor arm", "the desk lamp is green", "keyboard and mouse"])], "doc_id bigint, text string")
+    docs.write.parquet(where)
+    assert main(["ingest", where, "--index", str(tmp_path / "ix")]) == "4" and "bm25_topk" in main(["list"]).split()
+    assert '"doc_id": 2' in main(["query", "which lamp is green", "--index", str(tmp_path / "ix"), "--top-k", "2"])
+    assert main(["run", "order_count", "/root/testdata/sf0.001"]) == '{"n": 1500}'
+    index = Service(spark, str(tmp_path / "ix"))
+    name, rows = S.routed(index, "what happened to 1004", lambda q: [], lambda q: q, 2)
+    assert name == "hybrid" and [r["doc_id"] for r in rows.orderBy("rank").collect()][0] == 0 and "score" in rows.columns
+    assert S.routed(index, "why is the lamp green", lambda q: [], lambda q: "desk lamp green", 1)[1].first()["doc_id"] == 2
+    name, rows = S.routed(index, "list every mouse", lambda q: ["monitor arm"], lambda q: q, 1)
+    assert name == "multi_query" and {r["doc_id"] for r in rows.collect()} == {3, 1}
+    assert [S.chosen_route(x) for x in ("HyDE", "use multi_query, not hyde", "no idea")] == ["hyde", "multi_query", "dense"]
+    good = '{"answer": "x", "grounded": true, "cited_order_ids": ["1001"]}'
+    assert S.typed_answer(good, None) == S.typed_answer("no json", lambda prompt: good if "ERROR" in prompt else "")
+    with pytest.raises(ValueError):
+        S.typed_answer("{}", lambda prompt: '{"answer": 1}')
+    a = spark.createDataFrame([(0, "A", 1), (0, "b", 2)], "qid int, doc_id string, rank int")
+    b = spark.createDataFrame([(0, "a", 1)], "qid int, doc_id string, rank int")
+    fused = {r["doc_id"]: r["score"] for r in retrieval.rrf([a, b], identity=F.lower("doc_id")).collect()}
+    assert set(fused) == {"a", "b"} and fused["a"] == round(2 / 60, 9)
+    rows = docs.withColumn("tenant", F.when(F.col("doc_id") > 1, "t"))
+    assert retrieval.of_tenant(rows, "t").count() == 2
+    with pytest.raises(ValueError):
+        retrieval.of_tenant(rows, None)
+
+
+def test_passages_in_documents(spark):
+    docs = spark.createDataFrame([(1, "zero one two three four five six seven eight"), (2, "one  two three four five six"), (3, "xone two three four five sixy tail"), (4, None), (5, "ab")], "doc_id int, text string")
+    asked = spark.createDataFrame([(1, "one two three four five six"), (2, "b"), (3, "one two"), (4, None), (5, "two three four")], "qid int, text string")
+    got = {(r["qid"], r["doc_id"]) for r in retrieval.containing(docs, asked).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["text"]}
+    assert got == {(r["qid"], i) for r in asked.collect() if r["text"] for i, t in texts.items() if r["text"] in t}
+
+
+def test_places_by_ranges(spark):
+    values = [5.0, 1.0, 1.0, 7.0, None, 3.0, 1.0]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    n = F.col("n")
+    row = monitoring.values_at(df, "x", {"first": F.lit(1), "middle": F.ceil(n / 2), "last": n}).first()
+    assert tuple(row) == (1.0, 1.0, 7.0) and tuple(monitoring.values_at(df.limit(0), "x", {"a": n}).first()) == (None,)
+
+
 def test_service(spark, tmp_path):
     service = Service(spark, str(tmp_path / "index"))
     docs = spark.createDataFrame([(1, "the mouse was returned with a defect", "Returned"), (2, "the monitor is on backorder", "Processing")], "doc_id bigint, text string, status string")
