@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import canonical_url, luhn_valid, pii_placeholder, verhoeff_valid
 from ..functions.text import BLANK, let, line_signature, shingles, squeeze, tokenize_blank
 from .components import connected_components
-from .durable import written
+from .durable import drop_written, written
 
 
 def windows(words: Column, size: int, overlap: int) -> Column:
@@ -116,6 +117,49 @@ def near_duplicate_clusters(docs: DataFrame, threshold: float = 0.8, k: int = 5)
     return rows.select("doc_id", F.coalesce("component", "rep").alias("cluster_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def first_kept(docs: DataFrame, threshold: float = 0.8, k: int = 5) -> DataFrame:
+    """(doc_id, kept, reason, kept_id, jaccard) of docs (doc_id, url, text), in the order of their ids.
+
+    A document goes if a kept one before it has its canonical URL (reason url) or, else, a similar text (reason near, the
+    first such one); what is similar to a document that itself went stays. Ids are taken to be unique; a null URL equals none,
+    and texts without words are equal.
+
+    In each round the documents that come first among the open ones of their URL, their shingle set and the sets similar to
+    it are kept, and all others of these go. The first open document is always among those kept, so rounds end without a
+    limit; equal sets and URLs meet through their least id, never pair by pair.
+    """
+    members, pairs = similar_pairs(docs, threshold, k)
+    pairs = written(pairs, "pairs")
+    members = written(members.join(docs.select("doc_id", canonical_url(F.col("url")).alias("canonical")), "doc_id"), "members")
+    own = members.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("jaccard")).distinct()
+    near = written(own.union(pairs.select("a", "b", "jaccard")).union(pairs.select("b", "a", "jaccard")), "near")
+    rounds, still = [], members
+    while rounds == [] or not still.isEmpty():
+        least = still.groupBy(F.col("rep").alias("b")).agg(F.min("doc_id").alias("m"))
+        by_text = near.join(least, "b").groupBy(F.col("a").alias("rep")).agg(F.min("m").alias("text_least"))
+        by_url = still.filter("canonical IS NOT NULL").groupBy("canonical").agg(F.min("doc_id").alias("url_least"))
+        first = still.join(by_text, "rep").join(by_url, "canonical", "left").filter("doc_id = least(text_least, url_least)")
+        kept = written(first.select("doc_id", "rep", "canonical"), "kept")
+        gone = near.join(kept.select(F.col("rep").alias("b")), "b").select(F.col("a").alias("rep")).distinct()
+        after = written(still.join(gone, "rep", "left_anti").join(kept.select("canonical").distinct(), "canonical", "left_anti").select("doc_id", "rep", "canonical"), "still")
+        if rounds:
+            drop_written(still)
+        rounds, still = rounds + [kept], after
+    kept = reduce(DataFrame.union, rounds)
+    by_url = kept.filter("canonical IS NOT NULL").select("canonical", F.col("doc_id").alias("url_id"))
+    hits = near.join(kept.select(F.col("rep").alias("b"), F.col("doc_id").alias("id")), "b")
+    by_text = hits.groupBy(F.col("a").alias("rep")).agg(F.min(F.struct("id", "jaccard")).alias("near"))
+    same, close = F.col("url_id") < F.col("doc_id"), F.col("near.id") < F.col("doc_id")
+    reason = F.when(same, "url").when(close, "near")
+    return members.join(by_text, "rep", "left").join(by_url, "canonical", "left").select(
+        "doc_id",
+        reason.isNull().alias("kept"),
+        reason.alias("reason"),
+        F.when(same, F.col("url_id")).when(close, F.col("near.id")).alias("kept_id"),
+        F.when(reason == "near", F.col("near.jaccard")).alias("jaccard"),
+    )
+
+
 def lsh_candidates(signatures: DataFrame, bands: int = 16) -> DataFrame:
     """Pairs (a, b) whose signatures (doc_id, signature) agree in a whole band: candidates to verify."""
     rows = F.floor(F.size("signature") / bands).cast("int")

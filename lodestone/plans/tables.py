@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import tables as C
+from ..operators.corpus import first_kept
 from ..sources import html as P
 from .common import read
 
@@ -172,6 +173,13 @@ def main_content(spark, sf):
     return P.main_content(read(spark, sf, "pages"))
 
 
+def page_copies(spark, sf):
+    """Pages that repeat the URL or nearly the main content of a page kept before them."""
+    pages = read(spark, sf, "pages")
+    docs = P.main_content(pages).join(pages.select("page_id", "url"), "page_id").withColumnRenamed("page_id", "doc_id")
+    return first_kept(docs).withColumnRenamed("doc_id", "page_id")
+
+
 def boilerplate_leak(spark, sf):
     """Pages whose main content still holds a copyright line."""
     return P.main_content(read(spark, sf, "pages")).select("page_id", F.col("text").contains("©").alias("leak"))
@@ -215,6 +223,7 @@ QUERIES = {
     ),
     "render_diagnosis": (render_diagnosis, None),
     "main_content": (main_content, None),
+    "page_copies": (page_copies, None),
     "boilerplate_leak": (boilerplate_leak, None),
     "turn_parse": (
         turn_parse,

@@ -50,6 +50,34 @@ def test_similar_pairs_against_all_pairs(spark):
     assert {r["doc_id"]: r["rep"] for r in members.collect()} == {i: reps[s] for i, s in sets.items()}
 
 
+def test_first_kept_against_one_pass(spark):
+    random.seed(9)
+    docs = []
+    for i in range(90):
+        base = [f"w{i % 6}_{n}" for n in range(60)]
+        for _ in range(random.choice([0, 0, 1, 2])):
+            base[random.choice([0, 1, 30, 58, 59])] = random.choice("xyz")
+        docs.append((i, random.choice([None, f"http://h/{random.randrange(40)}?utm_a={i}", f"http://h/p{i}"]), " ".join(base)))
+    docs += [(90, "http://h/e", None), (91, "http://h/f", ""), (92, "http://h/f", "alone here"), (93, None, "alone here"), (94, "http://h/f#x", "other words")]
+
+    def shingles(t):
+        w = (t or "").split()
+        return frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4)) if w)
+
+    kept, want = [], {}
+    for i, url, text in docs:
+        link, s = url and url.split("?")[0].split("#")[0], shingles(text)
+        alike = [(j, 1.0 if s == t else round(len(s & t) / len(s | t), 4)) for j, _, t in kept if s == t or len(s & t) >= 0.8 * len(s | t) - 1e-12]
+        same = [j for j, other, _ in kept if link and other == link]
+        want[i] = (False, "url", same[0], None) if same else (False, "near", *alike[0]) if alike else (True, None, None, None)
+        if want[i][0]:
+            kept.append((i, link, s))
+    assert {w[1] for w in want.values()} == {None, "url", "near"}
+    got = corpus.first_kept(spark.createDataFrame(docs, "doc_id bigint, url string, text string"))
+    assert {r["doc_id"]: tuple(r)[1:] for r in got.collect()} == want
+    assert corpus.first_kept(got.sparkSession.createDataFrame([], "doc_id bigint, url string, text string")).count() == 0
+
+
 def test_fusion_and_diversity(spark):
     lists = [spark.createDataFrame(rows, "qid int, doc_id int, rank int") for rows in ([(0, 1, 1), (0, 2, 2)], [(0, 2, 1), (0, 3, 2)])]
     got = {r["doc_id"]: r["score"] for r in retrieval.rrf(lists).collect()}
