@@ -3,6 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import hashing
+from lodestone.functions.text import tokenize_words
 from lodestone.operators import corpus, evaluation, monitoring, retrieval, tables
 from lodestone.operators.components import connected_components
 from lodestone.operators.service import ABSTAIN, Service
@@ -234,3 +236,31 @@ def test_service(spark, tmp_path):
     answer = service.query("which mouse returned defect", k=1)
     assert answer["grounded"] and answer["sources"][0]["doc_id"] == 1
     assert service.query("mouse", filters="status=Processing")["answer"] == ABSTAIN
+
+
+def _chunk_tables(spark):
+    docs = [(d, f"{d}#{c}", "the cat sat" if d % 3 else f"the dog {'ran ' * (c + 1)}w{d}") for d in range(60) for c in range(3)] + [(99, "99#0", None), (98, "98#0", "  ")]
+    queries = [(0, "the cat the"), (1, "dog ran"), (2, "zebra"), (3, None)]
+    return docs, queries, spark.createDataFrame(queries, "qid bigint, text string"), spark.createDataFrame(docs, "doc_id bigint, chunk_id string, text string").coalesce(1)
+
+
+def _all_chunk_scores(docs, queries):
+    for q, asked in queries:
+        for d, c, text in docs:
+            words, wanted = (text or "").split(), set((asked or "").split())
+            if hits := sum(w in wanted for w in words):
+                yield q, -round(hits / len(words) ** 0.5 + 1e-12, 6), c, d
+
+
+def test_fair_chunks_leave_only_the_best_of_each_document(spark):
+    docs, queries, q, chunks = _chunk_tables(spark)
+    found = retrieval.chunk_scores(q, chunks, tokenize_words, 5, one_of_a_document=True)
+    assert found.count() <= 5 * len(queries)  # one slice: no hit but the best leaves it
+    got = sorted((r["qid"], r["rank"], r["chunk_id"]) for r in retrieval.fair_top_k(found, "doc_id", "chunk_id", 5).collect())
+    want, seen, ranks = [], set(), {}
+    for q, _, c, d in sorted(_all_chunk_scores(docs, queries)):
+        if (q, d) not in seen and ranks.get(q, 0) < 5:
+            ranks[q] = ranks.get(q, 0) + 1
+            want.append((q, ranks[q], c))
+        seen.add((q, d))
+    assert got == sorted(want)
