@@ -264,3 +264,12 @@ def test_fair_chunks_leave_only_the_best_of_each_document(spark):
             want.append((q, ranks[q], c))
         seen.add((q, d))
     assert got == sorted(want)
+
+
+def test_best_chunks_against_all(spark):
+    docs, queries, q, chunks = _chunk_tables(spark)
+    found = retrieval.chunk_scores(q, chunks, tokenize_words, 5)
+    assert found.count() <= 5 * len(queries)
+    got = sorted((r["qid"], -r["score"], r["chunk_id"]) for r in retrieval.top_k(found, ["qid"], [F.desc("score"), F.asc("chunk_id")], 5).collect())
+    every = sorted(x[:3] for x in _all_chunk_scores(docs, queries))
+    assert got == [x for i, x in enumerate(every) if sum(y[0] == x[0] for y in every[:i]) < 5]
