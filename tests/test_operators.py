@@ -273,3 +273,16 @@ def test_best_chunks_against_all(spark):
     got = sorted((r["qid"], -r["score"], r["chunk_id"]) for r in retrieval.top_k(found, ["qid"], [F.desc("score"), F.asc("chunk_id")], 5).collect())
     every = sorted(x[:3] for x in _all_chunk_scores(docs, queries))
     assert got == [x for i, x in enumerate(every) if sum(y[0] == x[0] for y in every[:i]) < 5]
+
+
+def test_minhash_of_texts_of_any_length_equals_md5(spark):
+    import hashlib
+
+    random.seed(5)
+    texts = [None, "", "...", "a b", "É ça " * 9] + [" ".join("x" * random.choice((1, 8, 12, 13, 30, 70)) + str(i) for i in range(n)) for n in (4, 5, 6, 40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["signature"] for r in hashing.minhash_documents(df, "doc_id", permutations=12).collect()}
+    for i, text in enumerate(texts):
+        words = [] if text in ("", "...") else (text or "").lower().split()
+        pieces = [" ".join(words[a : a + 5]) for a in range(max(1, len(words) - 4))]
+        assert got[i] == ([] if text is None else [min(hashlib.md5(f"{s}:{p}".encode()).hexdigest()[:16] for p in pieces) for s in range(12)])
