@@ -87,6 +87,27 @@ def verhoeff_valid(number: Column) -> Column:
     return (F.length(digits) == 12) & (F.aggregate(places, F.lit(0), fold) == 0)
 
 
+def embedded_words(text: Column) -> Column:
+    """The words that hash_embed counts."""
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1)), lambda w: ~w.isin(STOP_CACHE))
+
+
+def hashed(words: pa.ListArray, known: dict[str, int], dim: int) -> np.ndarray:
+    """The vectors of unit length of lists of words; known keeps words' places."""
+    if len(known) > 1_000_000:
+        known.clear()
+    sizes = np.diff(words.offsets.to_numpy())
+    coded = words.flatten().dictionary_encode()
+    found = coded.dictionary.to_pylist()
+    for w in found:
+        if w not in known:
+            known[w] = int(hashlib.md5(w.encode()).hexdigest()[-2:], 16) & (dim - 1)
+    place = np.array([known[w] for w in found], np.int64)[coded.indices.to_numpy()]
+    counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * dim + place, minlength=len(sizes) * dim).reshape(-1, dim)
+    length = np.sqrt((counts * counts).sum(axis=1).astype(float))
+    return counts / np.where(length > 0, length, 1.0)[:, None]
+
+
 def hash_embed(rows: DataFrame, key: str, text: str = "text", dim: int = 64) -> DataFrame:
     """(key, v): bag of words hashed by md5 into a power-of-two number of places, of unit length; stop words left out.
 
@@ -99,24 +120,11 @@ def hash_embed(rows: DataFrame, key: str, text: str = "text", dim: int = 64) ->
     def run(batches):
         known: dict[str, int] = {}
         for batch in batches:
-            words = batch.column(1)
-            sizes = np.diff(words.offsets.to_numpy())
-            coded = words.flatten().dictionary_encode()
-            found = coded.dictionary.to_pylist()
-            for w in found:
-                if w not in known:
-                    known[w] = int(hashlib.md5(w.encode()).hexdigest()[-2:], 16) & (dim - 1)
-            place = np.array([known[w] for w in found], np.int64)[coded.indices.to_numpy()]
-            counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * dim + place, minlength=len(sizes) * dim).reshape(-1, dim)
-            length = np.sqrt((counts * counts).sum(axis=1).astype(float))
-            v = counts / np.where(length > 0, length, 1.0)[:, None]
-            offsets = pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * dim)
+            v = hashed(batch.column(1), known, dim)
+            offsets = pa.array(np.arange(len(v) + 1, dtype=np.int32) * dim)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(v.reshape(-1)))], [key, "v"])
-            if len(known) > 1_000_000:
-                known = {}
 
-    words = F.filter(F.regexp_extract_all(F.lower(F.col(text)), F.lit("([a-z0-9]+)"), F.lit(1)), lambda w: ~w.isin(STOP_CACHE))
-    cut = rows.select(key, F.coalesce(words, F.array().cast("array<string>")).alias("w"))
+    cut = rows.select(key, F.coalesce(embedded_words(F.col(text)), F.array().cast("array<string>")).alias("w"))
     return cut.mapInArrow(run, StructType([cut.schema[0], StructField("v", ArrayType(DoubleType()))]))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_embed
@@ -58,8 +57,7 @@ def bm25_topk(spark, sf):
 
 def bm25_rank_all(spark, sf):
     """Every document's score for every passage, stop words left out."""
-    docs = _docs(spark, sf)
-    return R.bm25_rank_all(_queries(spark, sf), docs, R.index(docs, tokens=tokenize_stopwords))
+    return R.bm25_rank_all(_queries(spark, sf), R.index(_docs(spark, sf), tokens=tokenize_stopwords))
 
 
 def _dense(spark, sf):
@@ -86,16 +84,14 @@ FUSED = f"""l AS ({ranked_sql("dense")} UNION ALL {ranked_sql("scores")})"""
 
 def rrf_fusion(spark, sf):
     """The full rankings of both sides, ranks from 1: every document by its vector, and those that hold a query word."""
-    queries, docs = _dense(spark, sf)
-    ranked = lambda scores: scores.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")))
-    return R.rrf([ranked(R.dense_scores(queries, docs)), ranked(R.bm25_scores(_queries(spark, sf), R.index(_docs(spark, sf))))], first_rank=1)
+    docs = _docs(spark, sf)
+    return R.rrf_all(_queries(spark, sf), docs, R.index(docs))
 
 
 def hybrid_weighted(spark, sf):
     """0.5 of scaled dense and of scaled BM25 scores, first ten."""
-    queries, docs = _dense(spark, sf)
-    mixed = R.weighted_fusion(R.dense_scores(queries, docs), R.bm25_scores(_queries(spark, sf), R.index(_docs(spark, sf))), 0.5)
-    return R.top_k(mixed, ["qid"], [F.desc("score"), F.asc("doc_id")], K)
+    docs = _docs(spark, sf)
+    return R.weighted_top_k(_queries(spark, sf), docs, R.index(docs), 0.5, K)
 
 
 def _scaled(name: str, table: str) -> str:

@@ -305,3 +305,76 @@ def test_semantic_cache_leaves_one_row_a_request(spark, monkeypatch):
     got = hits.collect()
     assert {r["id"]: (-r["similarity"], r["hit_id"]) for r in got} == best and len(got) == len(best) > 200
     assert monitoring.semantic_cache_hits(requests.limit(0), 0.92).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+@pytest.mark.parametrize("others", [False, True])
+def test_nearest_in_blocks_against_all_pairs(spark, monkeypatch, metric, others):
+    """Copies, zero vectors, vectors of other lengths, null vectors and components; no join of rows with queries."""
+    random.seed(7)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 6)
+    vectors = [[float(random.randrange(-3, 4)) * 100 for _ in range(3)] for _ in range(80)] + [[1.0, 2.0, 3.0]] * 30 + [[0.0] * 3, [1.0, 2.0], [2.0, 1.0], None, [1.0, None, 2.0]]
+    df = spark.createDataFrame(list(enumerate(vectors)), "id bigint, embedding array<double>").repartition(3)
+    q = df.filter("id % 5 = 0").select(F.col("id").alias("qid"), "embedding")
+    found = retrieval.nearest(df, q, "id", 4, metric, others)
+    assert "CartesianProduct" not in (plan := found._jdf.queryExecution().toString()) and "NestedLoop" not in plan
+    plain = lambda v: v is not None and None not in v
+    want = []
+    for a in (i for i in range(0, len(vectors), 5) if plain(vectors[i])):
+        x, row = vectors[a], []
+        for b, y in enumerate(vectors):
+            if plain(y) and len(x) == len(y) and not (others and a == b):
+                size = sum(i * i for i in x) ** 0.5 * sum(i * i for i in y) ** 0.5
+                value = (sum(i * j for i, j in zip(x, y, strict=True)) / size if size else 0.0) if metric == "cosine" else sum((i - j) ** 2 for i, j in zip(x, y, strict=True)) ** 0.5
+                row.append((round(-value if metric == "cosine" else value, 6), b))
+        want += [(a, b) for _, b in sorted(row)[:4]]
+    assert sorted((r["qid"], r["id"]) for r in found.collect()) == sorted(want)
+
+
+def _rank_tables(spark):
+    random.seed(8)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(i, " ".join(random.choices(words, k=random.choice((0, 1, 5, 40))))) for i in range(150)] + [(i, "w1 w2 w1") for i in range(150, 200)] + [(200, None)]
+    queries = [(i, " ".join(random.choices(words, k=4))) for i in range(9)] + [(9, "w1 w1 w2"), (10, "zebra"), (11, None)]
+    return spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), spark.createDataFrame(queries, "qid bigint, text string"), docs, queries
+
+
+def _bm25(docs, queries):
+    from math import log
+
+    words = {d: (t or "").split() for d, t in docs}
+    mean = sum(map(len, words.values())) / len(docs)
+    df = {w: sum(w in x for x in words.values()) for x in words.values() for w in x}
+    for q, text in queries:
+        for d, x in words.items():
+            terms = [t for t in (text or "").split() if t in x]
+            score = sum(log((len(docs) - df[t] + 0.5) / (df[t] + 0.5) + 1) * x.count(t) * 2.5 / (x.count(t) + 1.5 * (0.25 + 0.75 * len(x) / mean)) for t in terms)
+            if terms:
+                yield q, d, round(score, 6)
+
+
+def test_bm25_shuffles_no_hits(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 5)
+    docs, queries, d, q = _rank_tables(spark)
+    want = sorted(_bm25(d, q))
+    scores = retrieval.bm25_scores(queries, retrieval.index(docs))
+    assert "Exchange" not in scores._jdf.queryExecution().executedPlan().toString()
+    near = lambda got: [(a, b, pytest.approx(s, abs=2e-6)) for a, b, s in got]
+    assert sorted(map(tuple, scores.collect())) == near(want)
+    top = retrieval.bm25_top_k(queries, retrieval.index(docs), 4).collect()
+    best = [x for q_ in range(12) for x in sorted((x for x in want if x[0] == q_), key=lambda x: (-x[2], x[1]))[:4]]
+    assert [(r["qid"], r["doc_id"], r["score"]) for r in sorted(top, key=lambda r: (r["qid"], r["rank"]))] == near(best)
+
+
+def test_full_fusions_against_their_general_operators(spark):
+    docs, queries, d, q = _rank_tables(spark)
+    ix = retrieval.index(docs)
+    dense = retrieval.dense_scores(hashing.hash_embed(queries, "qid"), hashing.hash_embed(docs, "doc_id"))
+    scores = retrieval.bm25_scores(queries, ix)
+    ranked = lambda s: retrieval.top_k(s, ["qid"], [F.desc("score"), F.asc("doc_id")], 10**6)
+    fused = retrieval.rrf_all(queries, docs, ix)
+    assert sorted(map(tuple, fused.collect())) == sorted(map(tuple, retrieval.rrf([ranked(dense), ranked(scores)], first_rank=1).collect()))
+    assert "Window" not in fused._jdf.queryExecution().toString()
+    mixed = ranked(retrieval.weighted_fusion(dense, scores, 0.5)).filter("rank <= 7")
+    got = retrieval.weighted_top_k(queries, docs, ix, 0.5, 7)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, mixed.select(*got.columns).collect()))
