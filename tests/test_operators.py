@@ -378,3 +378,19 @@ def test_full_fusions_against_their_general_operators(spark):
     mixed = ranked(retrieval.weighted_fusion(dense, scores, 0.5)).filter("rank <= 7")
     got = retrieval.weighted_top_k(queries, docs, ix, 0.5, 7)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, mixed.select(*got.columns).collect()))
+
+
+def test_similar_pairs_shuffle_prefixes_and_met_sets_only(spark, monkeypatch):
+    """Counters that all shingles share lose no pair, and sets that met no other are not joined."""
+    random.seed(9)
+    words = [f"w{i}" for i in range(50)]
+    base = [random.choices(words, k=60) for _ in range(30)]
+    docs = [(i, " ".join(x)) for i, x in enumerate(base)] + [(100 + i, " ".join(x[:-2] + ["new", "end"])) for i, x in enumerate(base[:8])] + [(200, " ".join(base[0])), (201, None), (202, "")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    want = [(i, 100 + i) for i in range(8)]
+    for counters in (64, 1 << 20):
+        monkeypatch.setattr(corpus, "COUNTERS", counters)
+        members, pairs = corpus.similar_pairs(df)
+        assert sorted((r["a"], r["b"]) for r in pairs.collect()) == want
+        assert {r["doc_id"]: r["rep"] for r in members.collect()} == {d: {200: 0, 202: 201}.get(d, d) for d, _ in docs}
+    assert {tuple(r) for r in corpus.equal_sets(df).collect()} == {tuple(r) for r in members.collect()}
