@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.graph import customers_of, order_graph
+from ..operators.graph import customers_of, order_graph, order_graph_size
 from ..operators.retrieval import nearest
 from .common import read
 
@@ -119,8 +119,9 @@ def other_orders(spark, sf):
 
 
 def graph_size(spark, sf):
-    graph = order_graph(_orders(spark, sf), read(spark, sf, "lineitem"), read(spark, sf, "part"))
-    return graph.nodes.agg(F.count("*").alias("nodes")).crossJoin(graph.edges.agg(F.count("*").alias("edges")))
+    """Nodes and edges of the order graph, counted from keys."""
+    items = read(spark, sf, "lineitem")
+    return order_graph_size(_orders(spark, sf), items, read(spark, sf, "part"), read(spark, sf, "orders").count() + items.count())
 
 
 GRAPH_SIZE = f"""WITH o AS (SELECT * FROM {ORDERS_SQL}), e AS (

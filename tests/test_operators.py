@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import hashing
 from lodestone.functions.text import tokenize_words
 from lodestone.operators import corpus, evaluation, monitoring, retrieval, tables
+from lodestone.operators import graph as order_graphs
 from lodestone.operators.components import connected_components
 from lodestone.operators.service import ABSTAIN, Service
 
@@ -394,3 +395,24 @@ def test_similar_pairs_shuffle_prefixes_and_met_sets_only(spark, monkeypatch):
         assert sorted((r["a"], r["b"]) for r in pairs.collect()) == want
         assert {r["doc_id"]: r["rep"] for r in members.collect()} == {d: {200: 0, 202: 201}.get(d, d) for d, _ in docs}
     assert {tuple(r) for r in corpus.equal_sets(df).collect()} == {tuple(r) for r in members.collect()}
+
+
+def test_graph_size_from_keys_in_parts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(order_graphs, "PART_ROWS", 20)
+    # order 7 stands twice, order 8 has two customers, and customers 0 and 1 one name; some names and an order's key are missing
+    orders = [(o, o % 9, f"c{o % 9 // 2}", f"R{o % 3}") for o in range(60)] + [(7, 7, "c3", "R1"), (8, 1, "c0", "R2"), (9, 2, "c1", None), (None, 3, "c1", "R0")]
+    items = [(i % 70, i % 11) for i in range(300)] + [(None, 1), (4, 50), (5, None)]
+    parts = [(p, f"B{p % 4}" if p else None) for p in range(11)]
+    tables = (
+        spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, c_name string, r_name string"),
+        spark.createDataFrame(items, "l_orderkey bigint, l_partkey bigint"),
+        spark.createDataFrame(parts, "p_partkey bigint, p_brand string"),
+    )
+    brand, known = dict(parts), {o for o, *_ in orders if o is not None}
+    edges = {(o, "c", c) for o, c, _, _ in orders} | {(o, "r", r) for o, _, _, r in orders} | {(o, "p", brand[p]) for o, p in items if o in known and p in brand}
+    nodes = {("o", o) if o is not None else None for o, _, _ in edges} | {(kind, x) if x is not None else None for _, kind, x in edges}
+    found = order_graphs.order_graph_size(*tables, len(orders) + len(items))
+    assert tuple(found.first()) == (len(nodes), len(edges))
+    n = -(-2 * (len(orders) + len(items)) // 20)
+    assert "hashpartitioning(o_orderkey#" in (plan := found._jdf.queryExecution().toString()) and f", {n}), REPARTITION_BY_NUM" in plan
+    assert tuple(order_graphs.order_graph_size(tables[0].limit(0), tables[1], tables[2], 0).first()) == (0, 0)
