@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -416,3 +417,19 @@ def test_graph_size_from_keys_in_parts_of_bounded_size(spark, monkeypatch):
     n = -(-2 * (len(orders) + len(items)) // 20)
     assert "hashpartitioning(o_orderkey#" in (plan := found._jdf.queryExecution().toString()) and f", {n}), REPARTITION_BY_NUM" in plan
     assert tuple(order_graphs.order_graph_size(tables[0].limit(0), tables[1], tables[2], 0).first()) == (0, 0)
+
+
+def test_word_slices_hold_one_batch_at_a_time():
+    import weakref
+
+    known, alive = [], []
+
+    def batches():
+        for _ in range(3):
+            alive.append(sum(x() is not None for x in known))
+            made = [pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array([["word"] * 500] * 400)], ["doc_id", "words"])]
+            known.append(weakref.ref(made[0]))
+            yield made.pop()
+
+    assert sum(x.num_rows for x in retrieval.word_slices(batches(), 1, most=50_000)) == 1_200
+    assert alive == [0, 0, 0]
